@@ -317,6 +317,6 @@ def topological(spark: SparkSession, d: str) -> DataFrame:
 
 @query("G30_join_sequences", "path:l len:l is_valid:b", f"with {SQL_LADDER} select seg_id // 64 as path, sum(5 + n) + sum(case when p is null then 0 when ol is null then 500 when ol < 5 + n then -ol else 0 end) as len, true as is_valid from (select a.*, lag(a.seg_id) over (partition by a.seg_id // 64 order by a.seg_id) as p from lines a) left join ladder on v = p * 2 and w = seg_id * 2 group by 1")
 def joined(spark: SparkSession, d: str) -> DataFrame:
-    s = ladder_segments(spark, d).select("seg_id", "n", F.substring(F.lit("ACGTACGTACGTACGT"), F.lit(1), F.col("n") + 5).alias("seq"))
+    s = ladder_segments(spark, d).select("seg_id", "n", F.substring(F.lit("ACGT" * 20), F.lit(1), (F.col("n") + 5).cast("int")).alias("seq"))
     p = s.select(F.expr("seg_id div 64").alias("path"), F.col("n").alias("ord"), (F.col("seg_id") * 2).alias("v"))
     return walks.join_sequences(p, s, ladder(spark, d)).select("path", F.length("seq").alias("len"), "is_valid")
