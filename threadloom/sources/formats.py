@@ -152,7 +152,7 @@ def read_contacts(spark: SparkSession, path: str, legacy_swap: bool = False) ->
     t = _numbered(spark.read.text(path)).where(F.size(f) >= 4).select("line_no", *[F.get(f, F.lit(k)).try_cast("long").alias(c) for k, c in enumerate(("i", "j", "fwd", "bwd"))])
     t = t.where("i is not null and j is not null")
     if legacy_swap:
-        t = t.withColumnsRenamed({"fwd": "bwd", "bwd": "fwd"}).select("line_no", "i", "j", "fwd", "bwd")
+        t = t.select("line_no", "i", "j", F.col("bwd").alias("fwd"), F.col("fwd").alias("bwd"))
     both = t.unionByName(t.select("line_no", F.col("j").alias("i"), F.col("i").alias("j"), "fwd", "bwd"))
     return both.groupBy("i", "j").agg(F.max_by(F.struct("fwd", "bwd"), "line_no").alias("x")).select("i", "j", "x.fwd", "x.bwd")
 
