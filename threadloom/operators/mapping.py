@@ -155,7 +155,7 @@ def run_statistics(first: DataFrame, second: DataFrame, groups: DataFrame) -> Da
     pairs = zip_mates(first, second)
     n = lambda df, name: df.agg(F.count("*").alias(name))
     useful = pairs.where("u1 <> u2")
-    parts = [n(first.where("target is not null"), "mapped1"), n(second.where("target is not null"), "mapped2"), n(pairs, "both"), n(useful, "useful"), n(group_guard(useful, groups), "kept")]
+    parts = [n(first.where("target is not null"), "mapped1"), n(second.where("target is not null"), "mapped2"), n(pairs, "both_mapped"), n(useful, "useful"), n(group_guard(useful, groups), "kept")]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(F.broadcast(p))  # one row each

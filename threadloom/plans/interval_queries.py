@@ -29,7 +29,7 @@ def tiled(spark: SparkSession, d: str) -> DataFrame:
 
 _OUT = '"Gene_Name", "Chrom", "Gene_Start"'
 _IN = 'exists (select 1 from {0} b where b."Chrom" = g."Chrom" and b."T_Start" <= g."Gene_Start" and b."T_End" >= g."Gene_End")'
-_NEAR = 'exists (select 1 from (select "Chrom", "T_Start" as at from blocks union all select "Chrom", "T_End" from blocks) b where b."Chrom" = g."Chrom" and at between g."Gene_Start" - 500 and g."Gene_End" + 500)'
+_NEAR = 'exists (select 1 from (select "Chrom", "T_Start" as edge from blocks union all select "Chrom", "T_End" from blocks) b where b."Chrom" = g."Chrom" and edge between g."Gene_Start" - 500 and g."Gene_End" + 500)'
 
 
 @query("J10_contained", "Gene_Name:l Chrom:l Gene_Start:l", f"with {SQL_BLOCKS}, {SQL_GENES} select {_OUT} from genes g where {_IN.format('blocks')}")

@@ -147,7 +147,7 @@ def totals(spark: SparkSession, d: str) -> DataFrame:
     return mapping.symmetric_total(mapping.contacts(pairs(spark, d)))
 
 
-@query("A16_run_statistics", "mapped1:l mapped2:l both:l useful:l kept:l skipped:l", f"with {SQL_PAIRS}, {_GROUPS}, u as (select * from pairs where u1 <> u2), g as (select p.* from u p left join groups a on a.id = u1 left join groups b on b.id = u2 where not (coalesce(a.grp, 0) <> 0 and coalesce(b.grp, 0) <> 0 and a.grp <> b.grp)) select (select count(*) from pairs) as mapped1, (select count(*) from pairs) as mapped2, (select count(*) from pairs) as both, (select count(*) from u) as useful, (select count(*) from g) as kept, (select count(*) from u) - (select count(*) from g) as skipped")
+@query("A16_run_statistics", "mapped1:l mapped2:l both_mapped:l useful:l kept:l skipped:l", f"with {SQL_PAIRS}, {_GROUPS}, u as (select * from pairs where u1 <> u2), g as (select p.* from u p left join groups a on a.id = u1 left join groups b on b.id = u2 where not (coalesce(a.grp, 0) <> 0 and coalesce(b.grp, 0) <> 0 and a.grp <> b.grp)) select (select count(*) from pairs) as mapped1, (select count(*) from pairs) as mapped2, (select count(*) from pairs) as both_mapped, (select count(*) from u) as useful, (select count(*) from g) as kept, (select count(*) from u) - (select count(*) from g) as skipped")
 def statistics(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d)
     a, b = (p.select("read_idx", F.col(f"u{i}").alias("target"), F.col(f"fwd{i}").alias("same")) for i in (1, 2))

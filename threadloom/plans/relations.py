@@ -146,7 +146,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Events as intervals of a user.
-SQL_INTERVALS = "intervals as (select user_id as grp, epoch(ts)::bigint as start, epoch(ts)::bigint + (abs(value) * 60)::bigint as \"end\", event_type as kind from events)"
+SQL_INTERVALS = "intervals as (select user_id as grp, floor(epoch(ts))::bigint as start, floor(epoch(ts))::bigint + (abs(value) * 60)::bigint as \"end\", event_type as kind from events)"
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
