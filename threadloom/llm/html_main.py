@@ -317,11 +317,14 @@ def _made_page(r: random.Random) -> str:
     if r.random() < 0.3:
         top = f'<div data-kept="0" class="{r.choice(["header", "masthead", "topbar", "site-header"])}">{words(4)}</div>' + top
     foot = f'<footer data-kept="0">{r.choice(["&copy; ", "<p>", ""])}{words(r.randint(3, 30))}</footer>' if r.random() < 0.75 else f'<div data-kept="0" class="{r.choice(["footer", "copyright", "site-footer"])}">{words(r.randint(3, 30))}</div>' if r.random() < 0.6 else ""
-    return f"<!DOCTYPE html><html><head><title>{words(3)}</title></head><body>{top}{article}{extras(3, [advert, sidebar, comments, form, notice])}{foot}" + r.choice(["</body></html>", ""])
+    page = f"{top}{article}{extras(3, [advert, sidebar, comments, form, notice])}{foot}"
+    if r.random() < 0.2:
+        return page
+    return f"<!DOCTYPE html><html><head><title>{words(3)}</title></head><body>{page}" + r.choice(["</body></html>", ""])
 
 
 @lru_cache(maxsize=2)
-def train_model(pages: int = 500, seed: int = 11) -> FlatTrees:
+def train_model(pages: int = 600, seed: int = 11) -> FlatTrees:
     """Labels: an element is kept if it is within the article or holds it."""
     r, x, y = random.Random(seed), [], []
     for _ in range(pages):

@@ -7,7 +7,8 @@ order of the greatest score that their terms allow, the sum over terms of weight
 weights), and stops when that is below its k-th best. Only k rows a query and cell leave a task; the best k of these are
 the result.
 
-Components are floor(scale * x) as whole numbers; products are taken in the narrowest type that holds them exactly. Rows
+Components are floor(scale * x) as whole numbers, held to 62 bits; products are taken in the narrowest type that holds
+them exactly, and a score beyond 64 bits is the end of their range. Rows
 that are null, or that hold a null or a component that is not finite, take no part; a row that is shorter than another
 counts as padded with zeros; an empty vector scores 0. Every row but those with the query's own id is a candidate, a
 repeated row each time. With fewer candidates than k all are returned. Extra columns are ignored, an empty table gives
@@ -41,6 +42,13 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(got, -(2**63), 2**63 - 1).astype(np.int64)
 
 
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a + b, held at the ends of the type's range."""
+    most, least = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+    high, low = (b > 0) & (a > most - np.maximum(b, 0)), (b < 0) & (a < least - np.minimum(b, 0))
+    return np.where(high, most, np.where(low, least, a + np.where(high | low, 0, b)))
+
+
 def pack(rows: DataFrame, key: str, vector: str, scale: int, size: int, cells: int, wanted: Column | None = None) -> DataFrame:
     """Blocks of at most size rows, in the order of the table, dealt out over cells."""
 
@@ -92,7 +100,7 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[n
     top = np.full((len(queries), k), none)
     who = np.full((len(queries), k), np.iinfo(np.int64).max)
     most, least = (np.stack([f(x) for _, x in blocks]) for f in (lambda x: x.max(0), lambda x: x.min(0)))
-    bounds = _product(np.maximum(queries, 0), most) + _product(np.minimum(queries, 0), least)
+    bounds = _sum(_product(np.maximum(queries, 0), most), _product(np.minimum(queries, 0), least))
     order = np.argsort(-bounds, axis=1, kind="stable")
     active = np.arange(len(queries))
     for step in range(len(blocks)):
