@@ -123,7 +123,7 @@ def simple_bubbles(arcs: DataFrame) -> DataFrame:
 def components(arcs: DataFrame, rounds: int = 60) -> DataFrame:
     """seg_id, component (least segment) over undirected links between segments.
 
-    Alternating large and small stars; each round is a checkpoint in the folder that the session names, so lineage stays
+    Alternating large and small stars; each round is a table in the shared folder that the session names, so lineage stays
     short, and per node only a minimum is gathered.
     """
     from threadloom.plans.staging import settle
