@@ -50,12 +50,16 @@ def kmers(df: DataFrame, k: int, seq: str = "seq", keep: tuple[str, ...] = ("own
     Sequences are cut into overlapping chunks first, so the work is in proportion to their length, and a long sequence
     is not one row by the time it matters.
     """
+    df = df.withColumn(seq, F.regexp_replace(F.upper(seq), "[^ACGT]", "N"))
     n = F.length(seq)
     starts = F.when(n >= k, F.sequence(F.lit(0), n - k, F.lit(CHUNK)))
     chunks = df.where(n >= k).select(*keep, F.explode(starts).alias("_at"), F.col(seq).alias("_s"))
     chunks = chunks.select(*keep, "_at", F.substring(F.col("_s"), F.col("_at") + 1, F.lit(CHUNK + k - 1)).alias("_c"))
     chunks = chunks.withColumn("_r", reverse_complement(F.col("_c")))
-    at = chunks.select(*keep, "_at", "_c", "_r", F.explode(F.sequence(F.lit(0), F.length("_c") - k)).alias("_i"))
-    at = at.select(*keep, (F.col("_at") + F.col("_i")).alias("pos"), F.substring(F.col("_c"), F.col("_i") + 1, F.lit(k)).alias("raw"), F.substring(F.col("_r"), F.length("_c") - k - F.col("_i") + 1, F.lit(k)).alias("_rc"))
-    at = at.where(~F.col("raw").rlike("[^ACGT]"))
+    # windows are cut inside the array, so exploded rows carry two windows and not their whole chunk
+    last = F.length("_c") - k
+    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("i"), F.substring(F.col("_c"), i + 1, F.lit(k)).alias("raw"), F.substring(F.col("_r"), last - i + 1, F.lit(k)).alias("rc")))
+    at = chunks.select(*keep, "_at", F.explode(windows).alias("_w"))
+    at = at.select(*keep, (F.col("_at") + F.col("_w.i")).alias("pos"), F.col("_w.raw").alias("raw"), F.col("_w.rc").alias("_rc"))
+    at = at.where(~F.col("raw").contains("N"))
     return at.select(*keep, "pos", F.least("raw", "_rc").alias("kmer"), (F.col("raw") < F.col("_rc")).alias("fwd"), "raw")

@@ -14,14 +14,18 @@ SATURATED = 2**22 - 1
 def unique_owner_index(sequences: DataFrame, k: int, max_pos: int | None = None) -> DataFrame:
     """kmer, owner, pos, fwd of its first occurrence (least owner, then pos), and is_repeat if another owner has it.
 
-    One aggregation with partial sums; a k-mer that occurs very often is merged before the shuffle. max_pos leaves out
-    occurrences beyond a position.
+    One aggregation with partial sums; a k-mer that occurs very often is merged before the shuffle. Owner, pos and fwd are
+    one number, so that the aggregation is by hash and sorts nothing; owners and positions must be below 2^31. max_pos
+    leaves out occurrences beyond a position.
     """
     occurrences = kmers(sequences, k)
     if max_pos is not None:
         occurrences = occurrences.where(F.col("pos") <= max_pos)
-    first = F.min(F.struct("owner", "pos", "fwd")).alias("f")
-    return occurrences.groupBy("kmer").agg(first, (F.min("owner") != F.max("owner")).alias("is_repeat")).select("kmer", "f.owner", "f.pos", "f.fwd", "is_repeat")
+    fits = (F.col("owner") >= 0) & (F.col("owner") < 2**31) & (F.col("pos") < 2**31)
+    place = F.when(fits, F.shiftleft(F.col("owner").cast("long"), 32) + F.col("pos").cast("long") * 2 + F.col("fwd").cast("long")).otherwise(F.raise_error(F.lit("owners and positions must be below 2^31")))
+    index = occurrences.groupBy("kmer").agg(F.min(place).alias("p"), (F.min("owner") != F.max("owner")).alias("is_repeat"))
+    low = F.col("p").bitwiseAND(F.lit(2**32 - 1))
+    return index.select("kmer", F.shiftright("p", 32).alias("owner"), F.shiftright(low, 1).cast("int").alias("pos"), (low % 2 == 1).alias("fwd"), "is_repeat")
 
 
 def all_occurrences(sequences: DataFrame, k: int) -> DataFrame:

@@ -164,6 +164,6 @@ def strict(spark: SparkSession, d: str) -> DataFrame:
     return mapping.map_reads(reads(spark, d), targets(spark, d), K, strict=True)
 
 
-@query("Q2_bounded_positions", "owner:l n:l", f"with {SQL_TARGETS}, {_TK}, {SQL_INDEX.replace('from tk group', 'from tk where pos <= 999 group')} select owner, count(*) as n from idx group by owner")
+@query("Q2_bounded_positions", "owner:l n:l", f"with {SQL_TARGETS}, {_TK}, {SQL_INDEX.replace('from tk group', 'from tk where pos <= 4194303 group')} select owner, count(*) as n from idx group by owner")
 def bounded(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.unique_owner_index(targets(spark, d), K, max_pos=999).groupBy("owner").agg(F.count("*").alias("n"))
+    return kmers.unique_owner_index(targets(spark, d), K, max_pos=4194303).groupBy("owner").agg(F.count("*").alias("n"))
