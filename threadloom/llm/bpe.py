@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Fixed value: characters with Unicode's White_Space property, as a class for regular expressions.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -38,7 +40,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class BytePairCodec:
     """Encodes and decodes by the ranks of a vocabulary; what it remembers is bounded."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 300_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 120_000) -> None:
         self.ranks, self.remember = ranks, remember
         self.bytes_of = {r: b for b, r in ranks.items()}
         # the pattern's white space is Unicode's; the regex module's \s holds four control characters more
@@ -177,7 +179,7 @@ def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", ou
         for s in texts:
             yield pd.Series([c.encode(t) if t else [] for t in s], index=s.index, dtype=object)
 
-    return df.withColumn(out, ids(F.col(text)))
+    return bounded_batches(df).withColumn(out, ids(F.col(text)))
 
 
 def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -211,4 +213,4 @@ def token_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", t
             yield got
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(df).select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

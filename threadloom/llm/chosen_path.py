@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, stage, window_hashes, words_of
+from .common import WordHashes, bounded_batches, mix64, stage, window_hashes, words_of
 from .components import connected
 
 WIDTH, THRESHOLD, RECALL, LEVELS, LIMIT, CELL = 5, 0.8, 0.99, 4, 48, 384
@@ -76,7 +76,7 @@ def _sketched(docs: DataFrame, key: str, text: str, runs: int, levels: int) -> D
             out.insert(0, "key", pdf["_k"].to_numpy())
             yield out
 
-    return docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInPandas(run, f"key {kind}, node binary, paths array<long>, sample binary")
+    return bounded_batches(docs).select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInPandas(run, f"key {kind}, node binary, paths array<long>, sample binary")
 
 
 def _roots(alike: np.ndarray) -> np.ndarray:

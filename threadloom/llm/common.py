@@ -37,6 +37,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that go to a Python worker at once, where the session leaves Spark's default of 10,000.
+TEXTS_A_BATCH = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with the session set to send fewer texts at once; a worker's memory is then that of a batch and of its own tables."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, str(TEXTS_A_BATCH))
+    return df
+
+
 def words_of(text: str | None) -> list[str]:
     """The words of WORD, in order. str.split() without an argument would also split at other Unicode spaces."""
     return [w for w in text.translate(_SPACES).split(" ") if w] if text else []
@@ -45,7 +57,7 @@ def words_of(text: str | None) -> list[str]:
 class WordHashes:
     """64-bit hashes of words, with a memory of bounded size."""
 
-    def __init__(self, limit: int = 300_000) -> None:
+    def __init__(self, limit: int = 100_000) -> None:
         self.known: dict[str, int] = {}
         self.limit = limit
 

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .trees import FlatTrees, fit_trees
 
 #: Fixed values of HTML: elements without an end tag, elements within a line, elements whose text is not shown.
@@ -377,4 +378,4 @@ def extract_main(pages: DataFrame, page: str = "html", out: str = "text", model:
                 got += main_texts(s.iloc[at : at + 256].tolist(), model)
             yield pd.Series(got, index=s.index, dtype=object)
 
-    return pages.withColumn(out, extract(F.col(page)))
+    return bounded_batches(pages).withColumn(out, extract(F.col(page)))

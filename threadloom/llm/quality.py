@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import bounded_batches, words_of
 from .trees import FlatTrees, fit_trees
 
 MAX_ROWS = 20_000
@@ -63,7 +63,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """The sample's ids and labels number max_rows at most, so they are broadcast; the driver gets its statistics only."""
     of = labels.select(F.col(key).alias("_k"), F.col(label).alias("_y")).where("_k is not null and _y is not null").where(~held_out(F.col("_k")))
     sample = of.groupBy("_k").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(max_rows)
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(sample), "_k").select("_k", "_y", "_t")
+    rows = bounded_batches(docs).select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(sample), "_k").select("_k", "_y", "_t")
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -85,7 +85,7 @@ def score_quality(docs: DataFrame, model: FlatTrees, text: str = "text", out: st
             x = np.array([statistics(t) for t in s], dtype=np.float64).reshape(len(s), len(STATISTICS))
             yield pd.Series(model.probability(x), index=s.index)
 
-    return docs.withColumn(out, score(F.col(text)))
+    return bounded_batches(docs).withColumn(out, score(F.col(text)))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:

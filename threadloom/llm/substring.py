@@ -23,11 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, stage, window_hashes, words_of
+from .common import WordHashes, bounded_batches, stage, window_hashes, words_of
 
 WIDTH, GRAM = 50, 10
 #: Entries that a task remembers of what it has met.
-REMEMBER = 500_000
+REMEMBER = 150_000
 
 
 def least_grams(h: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
@@ -42,7 +42,7 @@ def least_grams(h: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> np.ndarr
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     row = F.struct(*[F.col(c) for c in docs.columns])
-    return docs.select(row.alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("did"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return bounded_batches(docs).select(row.alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("did"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def _grams_of(rows: DataFrame, width: int, gram: int) -> DataFrame:

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 MAX_ROWS = 8_000
 FEATURES = 768
 THRESHOLD = 0.5
@@ -36,7 +38,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 class WordFeatures:
     """Hashes of a text's features; what a word gives is remembered up to a number of words."""
 
-    def __init__(self, chosen: dict[int, int] | None = None, limit: int = 300_000) -> None:
+    def __init__(self, chosen: dict[int, int] | None = None, limit: int = 150_000) -> None:
         self.chosen, self.limit = chosen, limit
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -139,7 +141,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str
     names = list(categories)
     of = labels.where("toxic is not null").select(F.col(key).alias("_k"), *[F.expr(x).cast("int").alias(c) for c, x in categories.items()]).where("_k is not null")
     sample = of.groupBy("_k").agg(*[F.max(c).alias(c) for c in names]).orderBy(F.xxhash64("_k"), "_k").limit(max_rows)
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(sample), "_k")
+    rows = bounded_batches(docs).select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(sample), "_k")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = WordFeatures()
@@ -163,6 +165,6 @@ def score_toxicity(docs: DataFrame, chain: Chain, text: str = "text", threshold:
             yield pd.DataFrame(1 / (1 + np.exp(-chain.log_odds([features(t) for t in s]))), columns=names)
 
     kept = [c for c in docs.columns if c not in (*names, "score", "toxic")]
-    scored = docs.withColumn("_p", score(F.col(text)))
+    scored = bounded_batches(docs).withColumn("_p", score(F.col(text)))
     last = F.col(f"_p.{names[-1]}")
     return scored.select(*kept, *[F.col(f"_p.{c}").alias(c) for c in names], last.alias("score"), (last >= threshold).cast("int").alias("toxic"))
