@@ -79,3 +79,26 @@ def test_sequences_are_joined(spark, ol, length):
     a = spark.createDataFrame([(0, 2, ol, 1)], "v long, w long, ol long, arc_len long")
     r = walks.join_sequences(p, s, a).first()
     assert (len(r.seq), r.is_valid, r.positions) == (length, True, [0, 4])
+
+
+def _tips(spark, rows):
+    return spark.createDataFrame(rows, "component long, v long, kind string, partner long")
+
+
+#: 0 to a tip 2 and its sibling 4, from which seven bubbles follow.
+_FORK = [(0, 2), (0, 4), (4, 6)] + [x for i in range(7) for s in [6 + 6 * i] for x in ((s, s + 2), (s, s + 4), (s + 2, s + 6), (s + 4, s + 6))]
+
+
+@pytest.mark.parametrize(("length", "joined"), [(100, True), (84, False)])
+def test_branch_tip_is_joined_to_what_follows_its_sibling(spark, length, joined):
+    a = _sized(spark, _FORK, [100, length] + [100] * 23)
+    m = _members(spark, 25)
+    got = walks.repair_arcs(a, m, walks.node_types(walks.find_bubbles(a, m)), _tips(spark, [(0, 2, "branch", None)]))
+    assert {(r.v, r.w) for r in got.collect()} == ({(2, 6), (7, 3)} if joined else set())
+
+
+def test_tip_is_joined_to_the_one_it_turns_to_and_no_more(spark):
+    a = _sized(spark, _FORK, [100] * 25)
+    m = _members(spark, 25)
+    got = walks.repair_arcs(a, m, walks.node_types(walks.find_bubbles(a, m)), _tips(spark, [(0, 2, "branch", None), (0, 2, "turn", 0)]))
+    assert {(r.v, r.w) for r in got.collect()} == {(2, 0), (1, 3)}

@@ -291,7 +291,11 @@ def tip_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 @query("G18_G19_repair_arcs", "component:l v:l w:l")
 def repairs(spark: SparkSession, d: str) -> DataFrame:
-    a, m, t = _sized(spark, d), ladder_members(spark, d), _tipped(spark, d)
+    a, m = _sized(spark, d), ladder_members(spark, d)
+    b = walks.node_types(walks.find_bubbles(a, m))
+    # ends of bubbles are no tips; a tip is one on both strands
+    loose = graph.degrees(a).where("n_out = 0 and n_in > 0").join(b, "v", "left_anti").select(F.explode(F.array(F.col("v"), F.col("v").bitwiseXOR(F.lit(1)))).alias("v")).distinct()
+    t = b.join(loose, "v", "left_anti").unionByName(loose.withColumn("node_type", F.lit(3)))
     return walks.repair_arcs(a, m, t, walks.classify_tips(a, m, t))
 
 
