@@ -102,3 +102,16 @@ def test_tip_is_joined_to_the_one_it_turns_to_and_no_more(spark):
     m = _members(spark, 25)
     got = walks.repair_arcs(a, m, walks.node_types(walks.find_bubbles(a, m)), _tips(spark, [(0, 2, "branch", None), (0, 2, "turn", 0)]))
     assert {(r.v, r.w) for r in got.collect()} == {(2, 0), (1, 3)}
+
+
+def test_branch_tip_that_got_an_arc_leads_to_the_next_bubble_end(spark):
+    # a bubble before the fork; its sibling 4 has an arc to 61, the other strand of tip 60, without the complement, so that only the repair gives 60 an arc
+    pairs = [*_FORK, (50, 52), (50, 54), (52, 0), (54, 0), (61, 62), (61, 64)]
+    a = _sized(spark, pairs, [100] * 33)
+    m = _members(spark, 33)
+    typed = walks.node_types(walks.find_bubbles(a, m))
+    a = a.unionByName(spark.createDataFrame([(4, 61, 5, 100, 100, 100)], a.schema))
+    tips = _tips(spark, [(0, 2, "branch", None), (0, 60, "branch", None)])
+    got = {(r.v, r.w) for r in walks.repair_arcs(a, m, typed, tips).collect()}
+    repaired = {(2, 6), (7, 3), (2, 61), (60, 3)}
+    assert got == repaired | {(62, 1), (0, 63), (64, 1), (0, 65)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import graph, walks
 from threadloom.plans.registry import query
 from threadloom.plans.relations import SQL_LADDER, SQL_PART_ARCS, SQL_PARTS, ladder, ladder_members, ladder_segments, part_arcs, parts, table
+from threadloom.plans.staging import settle
 from threadloom.sources import formats, sinks
 
 _CLOSED = "mirror as (select distinct xor(w, 1) as v, xor(v, 1) as w, ol from part_arcs), closed as (select * from part_arcs union all select * from mirror where (v, w, ol) not in (select (v, w, ol) from part_arcs))"
@@ -291,12 +292,13 @@ def tip_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 @query("G18_G19_repair_arcs", "component:l v:l w:l")
 def repairs(spark: SparkSession, d: str) -> DataFrame:
-    a, m = _sized(spark, d), ladder_members(spark, d)
-    b = walks.node_types(walks.find_bubbles(a, m))
+    a, m = settle(_sized(spark, d)), settle(ladder_members(spark, d))
+    b = settle(walks.node_types(walks.find_bubbles(a, m)))
     # ends of bubbles are no tips; a tip is one on both strands
     loose = graph.degrees(a).where("n_out = 0 and n_in > 0").join(b, "v", "left_anti").select(F.explode(F.array(F.col("v"), F.col("v").bitwiseXOR(F.lit(1)))).alias("v")).distinct()
     t = b.join(loose, "v", "left_anti").unionByName(loose.withColumn("node_type", F.lit(3)))
-    return walks.repair_arcs(a, m, t, walks.classify_tips(a, m, t))
+    t = settle(t)
+    return walks.repair_arcs(a, m, t, settle(walks.classify_tips(a, m, t)))
 
 
 @query("G26_P13_greedy_paths", "component:l path_no:l ord:l v:l")
