@@ -64,8 +64,9 @@ def seed_blocks(seeds: DataFrame, drift: int = 50, least: int = 3) -> DataFrame:
     return g.where(F.col("n") >= least).drop("_block")
 
 
-def distinct_everywhere(runs: DataFrame, sequences: int) -> DataFrame:
-    """start, end of offsets at which all sequences have minimizers and no two the same, merged."""
-    at = runs.select("seq_id", "minimizer", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    good = at.groupBy("pos").agg(F.count("*").alias("n"), F.count_distinct("minimizer").alias("d")).where((F.col("n") == sequences) & (F.col("d") == sequences))
-    return _runs(good.select(F.lit(0).alias("seq_id"), "pos", F.lit("x").alias("x")), "x").select("start", "end")
+def distinct_everywhere(runs: DataFrame, groups: DataFrame) -> DataFrame:
+    """grp, start, end of offsets at which all sequences of a group have minimizers and no two the same, merged. groups: seq_id, grp, one row a sequence."""
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("size"))
+    at = runs.join(groups, "seq_id").select("grp", "minimizer", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+    good = at.groupBy("grp", "pos").agg(F.count("*").alias("n"), F.count_distinct("minimizer").alias("d")).join(sizes, "grp").where((F.col("n") == F.col("size")) & (F.col("d") == F.col("size")))
+    return _runs(good.select(F.col("grp").alias("seq_id"), "pos", F.lit("x").alias("x")), "x").select(F.col("seq_id").alias("grp"), "start", "end")

@@ -192,11 +192,11 @@ def modimizers(spark: SparkSession, d: str) -> DataFrame:
     return sketch.modimizers(items(spark, d).withColumnRenamed("owner", "seq_id"), K, 16)
 
 
-@query("W10_distinct_minimizers", "start:l stop:l")
+@query("W10_distinct_minimizers", "grp:l start:l stop:l")
 def distinct_minimizers(spark: SparkSession, d: str) -> DataFrame:
-    turned = items(spark, d).select((F.col("owner") % 2).alias("seq_id"), "owner", "seq")
-    halves = turned.groupBy("seq_id").agg(F.max_by("seq", F.struct(F.length("seq"), "owner")).alias("seq"))
-    return sketch.distinct_everywhere(sketch.minimizer_runs(halves, 5, 10), 2).withColumnRenamed("end", "stop")
+    """Neighbouring items are the haplotypes of a group; one without a neighbour is a group of its own."""
+    s = items(spark, d).withColumnRenamed("owner", "seq_id")
+    return sketch.distinct_everywhere(sketch.minimizer_runs(s, 5, 10), s.select("seq_id", F.expr("seq_id div 2").alias("grp"))).withColumnRenamed("end", "stop")
 
 
 _WORDS = "select {key} as seq_id, word as minimizer, count(*) as span from (select {key}, unnest(regexp_split_to_array(text, '[ \\n]+')) as word from {of}) where word <> '' group by 1, 2"
