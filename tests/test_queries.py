@@ -55,3 +55,8 @@ def test_distinct_minimizers_need_every_sequence_of_their_group(spark):
     runs = spark.createDataFrame([(0, 0, 4, "A"), (1, 0, 2, "A"), (1, 2, 6, "C"), (2, 0, 3, "A"), (4, 1, 3, "A")], "seq_id long, start long, end long, minimizer string")
     groups = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)], "seq_id long, grp long")
     assert {(r.grp, r.start, r.end) for r in sketch.distinct_everywhere(runs, groups).collect()} == {(0, 2, 4), (2, 1, 3)}
+
+
+def test_every_tile_has_a_rank(spark):
+    got = registry.queries()["O4_O5_sorted_tiles"](spark, DATA)
+    assert got.count() == spark.read.parquet(f"{DATA}/lineitem.parquet").count()

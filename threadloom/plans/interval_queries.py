@@ -151,3 +151,9 @@ def fastq_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("O4_O5_top_tiles", "Q_Name:l rank:l Block_Len:l", f"with {SQL_TILES} select \"Q_Name\", rank, \"Block_Len\" from (select *, row_number() over (partition by \"Q_Name\" order by \"Block_Len\" desc) as rank from tiles) where rank <= 3")
 def top_tiles(spark: SparkSession, d: str) -> DataFrame:
     return tiles(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("Q_Name").orderBy(F.desc("Block_Len")))).where("rank <= 3")
+
+
+@query("O4_O5_sorted_tiles", "Q_Name:l rank:l Matches:l Q_Start:l T_Name:s", "select l_suppkey as \"Q_Name\", row_number() over (partition by l_suppkey order by trunc(l_extendedprice)::bigint desc, l_orderkey * 10, 'chr' || (l_partkey % 7) || case l_returnflag when 'R' then '_MATERNAL' when 'A' then '_PATERNAL' else '' end) as rank, trunc(l_extendedprice)::bigint as \"Matches\", l_orderkey * 10 as \"Q_Start\", 'chr' || (l_partkey % 7) || case l_returnflag when 'R' then '_MATERNAL' when 'A' then '_PATERNAL' else '' end as \"T_Name\" from lineitem")
+def sorted_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Every tile with its rank in the order of its contig."""
+    return tiles(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("Q_Name").orderBy(F.desc("Matches"), "Q_Start", "T_Name")))
