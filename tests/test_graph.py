@@ -115,3 +115,52 @@ def test_branch_tip_that_got_an_arc_leads_to_the_next_bubble_end(spark):
     got = {(r.v, r.w) for r in walks.repair_arcs(a, m, typed, tips).collect()}
     repaired = {(2, 6), (7, 3), (2, 61), (60, 3)}
     assert got == repaired | {(62, 1), (0, 63), (64, 1), (0, 65)}
+
+
+def _nested(n):
+    """A bubble around a row of n: the paths from 0 to 6n + 2 by way of the row are 2 ** n, and one leads past it."""
+    row = [x for i in range(n) for s in [2 + 6 * i] for x in ((s, s + 2), (s, s + 4), (s + 2, s + 6), (s + 4, s + 6))]
+    end = 6 * n + 4
+    return [(0, 2), (0, end + 2), (6 * n + 2, end), (end + 2, end), *row], end
+
+
+def test_bubble_of_very_many_paths_is_whole(spark):
+    pairs, end = _nested(40)
+    a, m = _arcs(spark, pairs), _members(spark, end // 2 + 2)
+    b = walks.bubble_nodes(a, m)
+    got = b.where(f"s = 0 and t = {end}").collect()
+    assert len(got) == end // 2 + 2 and {int(r.n_paths) for r in got} == {2**40 + 1}
+    types = {r.v: r.node_type for r in walks.node_types(b).collect()}
+    assert all(types[v] == (1 if v in (0, end) else 2) for v in range(0, end + 3, 2))
+    pure = {r.v: (r.pure_in, r.pure_out) for r in walks.pure_degrees(a, m, b).collect()}
+    assert pure == {0: (0, 1), 1: (1, 0), end: (1, 0), end + 1: (0, 1)}
+
+
+def test_path_listing_that_runs_out_of_steps_says_so(spark):
+    pairs, end = _nested(3)
+    a, m = _arcs(spark, pairs), _members(spark, end // 2 + 2)
+    few = walks.find_bubbles(a, m, most=10).where(f"s = 0 and t = {end}")
+    assert [r.complete for r in few.select("complete").distinct().collect()] == [False]
+    assert [r.complete for r in walks.find_bubbles(a, m).select("complete").distinct().collect()] == [True]
+
+
+def test_longest_path_is_exact_beyond_the_step_limit(spark):
+    pairs, end = _nested(40)
+    lengths = [10 + (i % 3) for i in range(end // 2 + 2)]
+    got = walks.exhaustive_paths(_sized(spark, pairs, lengths), _members(spark, end // 2 + 2)).orderBy("ord").collect()
+    assert all(r.complete for r in got)
+    assert sum(lengths[r.v >> 1] for r in got) == max(sum(lengths[v >> 1] for v in p) for p in _best(pairs, lengths, end))
+
+
+def _best(pairs, lengths, end):
+    """The longest paths from either end, by brute force over the order of vertices."""
+    out = []
+    for arcs, first in ((pairs, 0), ([(w, v) for v, w in pairs], end)):
+        best = {first: [first]}
+        for _ in range(end):
+            grown = {w: [*best[v], w] for v, w in arcs if v in best and sum(lengths[x >> 1] for x in [*best[v], w]) > sum(lengths[x >> 1] for x in best.get(w, []))}
+            if not grown:
+                break
+            best |= grown
+        out += best.values()
+    return out

@@ -108,13 +108,14 @@ def simple_bubbles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("G9_G10_superbubbles", "s:l t:l n_paths:l n_nodes:l", _BUBBLES + "select s, t, 2 as n_paths, 4 as n_nodes from r")
 def superbubbles(spark: SparkSession, d: str) -> DataFrame:
-    b = walks.find_bubbles(ladder(spark, d), ladder_members(spark, d))
-    return b.groupBy("s", "t").agg(F.count_distinct("path_no").alias("n_paths"), F.count_distinct("v").alias("n_nodes"))
+    b = walks.bubble_nodes(ladder(spark, d), ladder_members(spark, d))
+    # null where a long does not hold the number of paths
+    return b.groupBy("s", "t").agg(F.expr("try_cast(first(n_paths) as long)").alias("n_paths"), F.count_distinct("v").alias("n_nodes"))
 
 
 @query("D16_node_types", "v:l node_type:l", _BUBBLES + ", k as (select unnest([s, t]) as v, 1 as node_type from r union all select unnest([a, b]), 2 from r) select v, max(node_type) as node_type from k group by v")
 def types(spark: SparkSession, d: str) -> DataFrame:
-    return walks.node_types(walks.find_bubbles(ladder(spark, d), ladder_members(spark, d)))
+    return walks.node_types(walks.bubble_nodes(ladder(spark, d), ladder_members(spark, d)))
 
 
 @query("G13_components", "seg_id:l component:l", f"with {SQL_LADDER}, c as (select seg_id // 64 as o, min(seg_id) as component from lines group by 1 having count(*) > 1) select seg_id, component from lines join c on o = seg_id // 64")
@@ -271,13 +272,13 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 @query("A20_G20_pure_degrees", "component:l v:l pure_in:l pure_out:l endpoint:b")
 def pure(spark: SparkSession, d: str) -> DataFrame:
     a, m = ladder(spark, d), ladder_members(spark, d)
-    return walks.pure_degrees(a, m, walks.find_bubbles(a, m))
+    return walks.pure_degrees(a, m, walks.bubble_nodes(a, m))
 
 
 @query("G21_G22_chains", "component:l begin:l end_:l node:l is_hap_only:b")
 def chains(spark: SparkSession, d: str) -> DataFrame:
     a, m = ladder(spark, d), ladder_members(spark, d)
-    b = walks.find_bubbles(a, m)
+    b = walks.bubble_nodes(a, m)
     return walks.extract_chains(a, m, walks.pure_degrees(a, m, b), walks.node_types(b)).withColumnRenamed("end", "end_")
 
 
@@ -293,7 +294,7 @@ def tip_kinds(spark: SparkSession, d: str) -> DataFrame:
 @query("G18_G19_repair_arcs", "component:l v:l w:l")
 def repairs(spark: SparkSession, d: str) -> DataFrame:
     a, m = settle(_sized(spark, d)), settle(ladder_members(spark, d))
-    b = settle(walks.node_types(walks.find_bubbles(a, m)))
+    b = settle(walks.node_types(walks.bubble_nodes(a, m)))
     # ends of bubbles are no tips; a tip is one on both strands
     loose = graph.degrees(a).where("n_out = 0 and n_in > 0").join(b, "v", "left_anti").select(F.explode(F.array(F.col("v"), F.col("v").bitwiseXOR(F.lit(1)))).alias("v")).distinct()
     t = b.join(loose, "v", "left_anti").unionByName(loose.withColumn("node_type", F.lit(3)))
