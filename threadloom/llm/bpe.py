@@ -18,7 +18,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import pandas as pd
@@ -30,6 +29,15 @@ from .common import bounded_batches
 
 #: Fixed value: characters with Unicode's White_Space property, as a class for regular expressions.
 WHITE = r"\t-\r \x85\xa0  -     　"
+#: Chunks in each generation of what a worker remembers; one takes about 300 bytes.
+REMEMBER = 300_000
+#: Number of tokens, their ids in decimal with commas, and the bytes that these ids stand for.
+Found = tuple[int, str, bytes]
+
+
+def _joined(parts: list[Found]) -> Found:
+    n, ids, data = zip(*parts, strict=True)
+    return sum(n), ",".join(ids), b"".join(data)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,29 +48,35 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class BytePairCodec:
     """Encodes and decodes by the ranks of a vocabulary; what it remembers is bounded."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 120_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = REMEMBER) -> None:
         self.ranks, self.remember = ranks, remember
         self.bytes_of = {r: b for b, r in ranks.items()}
         # the pattern's white space is Unicode's; the regex module's \s holds four control characters more
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
         self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+        self.wide_gap = re.compile(f" (?:[{WHITE}]|\\Z)")
         self.size_of = {r: len(b) for b, r in ranks.items()}
-        self.recent: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, Found] = {}
+        self.older: dict[str, Found] = {}
         self.fits: dict[int, bool] = {}
+        self.alone: dict[int, Found] = {r: (1, str(r), b) for b, r in ranks.items()}
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         self.shorter: dict[int, int] = {}
-        self.usable: dict[str, int] = {}
+        usable: dict[str, int] = {}
         for b, r in ranks.items():
             if self._merged(b) == [r]:  # others never come from merges
-                self.usable[b.decode("latin-1")] = r
+                usable[b.decode("latin-1")] = r
                 self.trie.add_word(b.decode("latin-1"), r)
-        self.widest = max(map(len, self.usable), default=0)
-        for b, r in self.usable.items():
-            for n in range(len(b) - 1, 0, -1):
-                if (s := self.usable.get(b[:n])) is not None:
-                    self.shorter[r] = s
-                    break
+        self.widest = max(map(len, usable), default=0)
+        self.longest_of: dict[str, int] = {}  # of what starts some token, the longest token that it starts with
+        for b in sorted(usable, key=len):
+            for n in range(1, len(b) + 1):
+                if b[:n] in usable:
+                    self.longest_of[b[:n]] = usable[b[:n]]
+                elif n > 1 and b[:n] not in self.longest_of and b[: n - 1] in self.longest_of:
+                    self.longest_of[b[:n]] = self.longest_of[b[: n - 1]]
+            if (s := self.longest_of.get(b[:-1])) is not None:
+                self.shorter[usable[b]] = s
 
     def _merged(self, data: bytes) -> list[int]:
         """Tokens by the merges themselves, lowest rank first, then leftmost; for single tokens and pairs of them."""
@@ -79,24 +93,22 @@ class BytePairCodec:
         return [self.ranks[p] for p in parts]
 
     def _fit(self, a: int, b: int) -> bool:
-        if len(self.fits) > self.remember:
+        if len(self.fits) > 2 * self.remember:
             self.fits.clear()
         known = self.fits[a << 32 | b] = self._merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
-    def _longest(self, data: str, at: int) -> int:
-        """The longest token that starts at a byte; the trie bounds how long it can be."""
-        part = data[at : at + self.widest]
-        n = self.trie.longest_prefix(part)
-        while n:
-            r = self.usable.get(part[:n])
-            if r is not None:
-                return r
-            n -= 1
-        raise ValueError("the vocabulary lacks a byte of the text")
+    def _longest(self, text: str, at: int) -> int:
+        """The longest token that starts at a byte; the trie finds how far any token agrees with the text."""
+        part = text[at : at + self.widest]
+        token = self.longest_of.get(part[: self.trie.longest_prefix(part)])
+        if token is None:
+            raise ValueError("the vocabulary lacks a byte of the text")
+        return token
 
     def _backtracked(self, data: bytes) -> list[int]:
         n, size, shorter, known, text = len(data), self.size_of, self.shorter, self.fits, data.decode("latin-1")
+        widest, reach, longest_of = self.widest, self.trie.longest_prefix, self.longest_of
         dead = bytearray(n + 1)  # ends from which no way leads on
         out: list[int] = []
         at, last, token = 0, -1, self._longest(text, 0)
@@ -114,60 +126,78 @@ class BytePairCodec:
                 at += size[token]
                 if at == n:
                     return out
-                last, token = token, self._longest(text, at)
+                part = text[at : at + widest]
+                last, token = token, longest_of.get(part[: reach(part)])
+                if token is None:
+                    raise ValueError("the vocabulary lacks a byte of the text")
             else:
                 dead[at] = 1
                 token = out.pop()
                 at -= size[token]
                 last = out[-1] if out else -1
+                token = shorter.get(token)
 
     def encode_piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8")
         r = self.ranks.get(data)
         return [r] if r is not None else self._backtracked(data)
 
-    def _looked_up(self, chunk: str) -> tuple[tuple[int, ...], str]:
+    def _found(self, ids: list[int]) -> Found:
+        alone = self.alone
+        return len(ids), ",".join([alone[i][1] for i in ids]), b"".join([alone[i][2] for i in ids])
+
+    def _looked_up(self, chunk: str) -> Found:
         """Two generations of what was met lately; the older one goes when the younger is full."""
         found = self.older.get(chunk)
         if found is None:
             pieces = self.pattern.findall(chunk)
             if len(pieces) == 1:
-                ids = tuple(self.encode_piece(chunk))
+                found = self._found(self.encode_piece(chunk))
+            elif len(pieces) == 2:
+                (a, b, c), (x, y, z) = [self.recent.get(p) or self._looked_up(p) for p in pieces]
+                found = a + x, f"{b},{y}", c + z
             else:
-                ids = tuple(t for p in pieces for t in (self.recent.get(p) or self._looked_up(p))[0])
-            found = ids, ",".join(map(str, ids))
+                found = _joined([self.recent.get(p) or self._looked_up(p) for p in pieces])
+                if len(pieces) > 3:  # such are seldom met again
+                    return found
         if len(chunk) <= 64:
             if len(self.recent) >= self.remember:
                 self.older, self.recent = self.recent, {}
             self.recent[chunk] = found
         return found
 
-    def encoded_chunks(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids, and the same in decimal, of each run of white space with what follows up to the next.
+    def encoded_chunks(self, text: str) -> list[Found]:
+        """For each run of white space with what follows up to the next: the number of its tokens, their ids in decimal, the bytes that these stand for.
 
-        Such a run starts and ends where matches of the pattern do, so it is looked up as one.
+        Such a run starts and ends where matches of the pattern do, so it is looked up as one. The same holds at a space
+        that neither white space nor the end follows, and splitting at those alone is quicker.
         """
-        chunks = self.chunks.findall(text)
+        if "\0" in text or self.wide_gap.search(text):
+            chunks = self.chunks.findall(text)
+        else:
+            chunks = text.replace(" ", "\0 ").split("\0")
+            if not chunks[0]:
+                del chunks[0]
         got = list(map(self.recent.get, chunks))
         if None in got:
             got = [self._looked_up(chunks[i]) if x is None else x for i, x in enumerate(got)]
         return got
 
     def encode(self, text: str) -> list[int]:
-        return [t for ids, _ in self.encoded_chunks(text) for t in ids]
+        return [int(x) for _, ids, _ in self.encoded_chunks(text) for x in ids.split(",")] if text else []
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_codecs: dict[tuple[str, str], BytePairCodec] = {}
+_codecs: dict[tuple[str, str, int], BytePairCodec] = {}
 
 
-def codec(path: str, pattern: str) -> BytePairCodec:
+def codec(path: str, pattern: str, remember: int = REMEMBER) -> BytePairCodec:
     """One a Python worker."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = BytePairCodec(read_ranks(path), pattern)
-    return _codecs[path, pattern]
+    if (path, pattern, remember) not in _codecs:
+        _codecs[path, pattern, remember] = BytePairCodec(read_ranks(path), pattern, remember)
+    return _codecs[path, pattern, remember]
 
 
 def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
@@ -194,20 +224,20 @@ def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "token_ids"
     return df.withColumn(out, data(F.col(ids)))
 
 
-def token_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", remember: int = REMEMBER) -> DataFrame:
     """Per row: key, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256, both as lowercase hex.
 
-    Ids are made, digested and decoded a row at a time, so a partition needs memory for a batch of texts only.
+    Ids are made, digested and decoded a row at a time, so a partition needs memory for a batch of texts only, and a
+    worker for what it remembers.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path, pattern)
+        c = codec(path, pattern, remember)
         for pdf in batches:
             rows = []
             for t in pdf["_text"]:
-                chunks = c.encoded_chunks(t) if t else []
-                ids = list(chain.from_iterable(x for x, _ in chunks))
-                rows.append((len(ids), hashlib.sha256(",".join([x for _, x in chunks]).encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
+                n, ids, data = _joined(c.encoded_chunks(t)) if t else (0, "", b"")
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(data).hexdigest()))
             got = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             got.insert(0, key, pdf["_key"].to_numpy())
             yield got
