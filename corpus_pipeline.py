@@ -48,9 +48,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row."""
-    return token_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return token_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, remember=TOKENS_REMEMBER)
 
 
+#: Chunks a worker remembers: fewer than in op5_bpe, as the JVM still holds the heap of earlier stages.
+TOKENS_REMEMBER = 120_000
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix", mix), ("tokens", tokens)]
 
 #: Trained trees and the tokenizer have no SQL; tests/llm holds the stages against brute force.
