@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -72,6 +73,42 @@ def test_later_categories_use_earlier_ones():
     assert chain.weights[1][len(chain.chosen)] > 0.3  # the weight of the earlier category's log-odds
 
 
+def test_out_of_fold_predictions_do_not_know_their_fold():
+    rng = np.random.default_rng(4)
+    present = [np.array(sorted(rng.choice(60, 8, replace=False)), np.int32) for _ in range(300)]
+    values, fold, none = [np.ones(8, np.float32)] * 300, np.arange(300) % 3, np.zeros((300, 0), np.float32)
+    y = np.array([[float(5 in p)] for p in present], np.float32)
+    told = toxicity.out_of_fold(present, values, y, 0, none, fold, 20)
+    for f in range(3):
+        own, rest = fold == f, np.nonzero(fold != f)[0]
+        other = np.where(own[:, None], 1 - y, y)  # what the fold's own labels say changes nothing for it
+        assert (toxicity.out_of_fold(present, values, other, 0, none, fold, 20)[own] == told[own]).all()
+        chosen = toxicity.choose_features([present[i] for i in rest], y[rest], 20)
+        w = toxicity.fit_linear(np.array([[float(c in {chosen.get(int(x)) for x in present[i]}) for c in range(len(chosen))] for i in rest], np.float32), y[rest, 0])
+        for i in np.nonzero(own)[0]:
+            z = sum(w[chosen[int(x)]] for x in present[i] if int(x) in chosen) + w[-1]
+            assert abs(1 / (1 + np.exp(-z)) - told[i, 0]) < 1e-3
+
+
+def test_near_copies_share_a_fold():
+    rng = np.random.default_rng(5)
+    rows = [np.array(sorted(rng.choice(10**6, 200, replace=False)), np.int32) for _ in range(50)]
+    rows += [np.array(sorted({*r[3:].tolist(), 7}), np.int32) for r in rows[:20]] + rows[:5]
+    groups = toxicity.copy_groups(np.array([toxicity.sketch(r) for r in rows]))
+    assert all(groups[50 + i] == groups[i] for i in range(20)) and all(groups[70 + i] == groups[i] for i in range(5)) and len(set(groups.tolist())) == 50
+    fold = toxicity.fold_of(groups, 5)
+    assert all(len({f for f, x in zip(fold, groups, strict=True) if x == g}) == 1 for g in set(groups.tolist())) and np.bincount(fold).tolist() == [15] * 5
+
+
+def test_chain_chooses_features_from_all_rows(spark, labels):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = docs.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("t"), F.max("quality").alias("q")), "doc_id").orderBy("doc_id").collect()
+    features = toxicity.WordFeatures()
+    present = [np.array(sorted(features(r.text)), np.int32) for r in rows]
+    y = np.array([[r.t and not r.q, r.t and r.q, r.t] for r in rows], np.float32)
+    assert toxicity.train_toxicity(docs, labels).chosen == toxicity.choose_features(present, y, toxicity.FEATURES)
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty, labels):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     chain = toxicity.train_toxicity(docs, labels)
@@ -213,6 +250,53 @@ def test_deep_pages_do_not_recurse():
     assert html_main.main_texts(["<div>" * 5000 + "x" + "</div>" * 10], html_main.train_model()) in ([""], ["x"])
 
 
+@pytest.mark.parametrize("mark", ["<a ", '<a "', "<a ' \"", "<a<b ", "</p>", "<h1>", "<div>", "<p><b>", "<a \"'>", "<!-- ", "<script ", "<li><b>", "<td>", '<a x=">', "<a '>\""])
+def test_broken_markup_takes_linear_time(mark):
+    began = time.process_time()
+    html_main.parse(mark * 100_000)
+    assert time.process_time() - began < 20
+
+
+def test_tags_end_outside_quotes():
+    model, text = html_main.train_model(), "Kept text stands here, of some length."
+    for tag in ('<p title="a > b">', "<p title='a > b'>", '<p title="it\'s > b">', "<p x=" + '"' * 59 + ">", "<p title=\"open>"):
+        assert html_main.main_texts([f"<article>{tag}{text}</p></article>"], model) == [text]
+
+
+def test_references_do_not_cross_tags():
+    assert html_main.main_texts(["<article><p>Fish &am<b>p;</b>lt; chips &lt;here&gt; &amp;amp; there.</p></article>"], html_main.train_model()) == ["Fish &amp;lt; chips <here> &amp; there."]
+
+
+def test_long_page_is_whole():
+    line = "Some text of a long page, which goes on and on."
+    got = html_main.main_texts(["<article>" + f"<p>{line}</p>" * 30_000 + "</article>", "<article><p>" + "word " * 400_000 + "</p></article>"], html_main.train_model())
+    assert got[0].split("\n") == [line] * 30_000 and got[1] == " ".join(["word"] * 400_000)
+
+
+def test_pages_of_a_table(spark):
+    rows = [(1, "u", "<article><p>Kept text stands here, of some length.</p></article>", "old"), (1, "u", "<article><p>Kept text stands here, of some length.</p></article>", "old"), (2, None, None, None), (None, "u", "", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_main.extract_main(pages)
+    assert got.columns == pages.columns and sorted(map(str, got.select("page_id", "text").collect())) == sorted(map(str, spark.createDataFrame([(1, "Kept text stands here, of some length.")] * 2 + [(2, ""), (None, "")], "page_id long, text string").collect()))
+    assert html_main.extract_main(pages.limit(0)).count() == 0
+
+
+def test_decoding_is_the_best_of_all_choices():
+    rng = np.random.default_rng(6)
+    for page in ("<div><p>a</p><ul><li>b<li>c</ul></div><p>d</p>", "<a>x</a><div><div><div><p>y</p></div><p>z</p></div></div>", "<p>1<p>2<p>3<p>4"):
+        _, nodes = html_main.parse(page)
+        for _ in range(20):
+            p = rng.random(len(nodes))
+            best, chosen = -np.inf, None
+            for mask in range(1 << (len(nodes) - 1)):
+                kept = {nodes[0]} | {v for i, v in enumerate(nodes[1:]) if mask >> i & 1}
+                if all(v.parent is None or v.parent in kept for v in kept):
+                    score = sum(np.log(p[i] if v in kept else 1 - p[i]) for i, v in enumerate(nodes) if i)
+                    if score > best:
+                        best, chosen = score, kept
+            assert html_main.decode(nodes, p) == chosen
+
+
 # 7
 def _spots(text):
     words = [w for w in re.sub(r"[^a-zA-ZÀ-ɏ]+", " ", (text or "").lower()).split(" ") if w]

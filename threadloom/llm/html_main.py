@@ -8,7 +8,7 @@ for each run of text that no block element interrupts, is the result.
 The trees learn, at each start, from pages that this module makes from a fixed seed: articles with and without semantic
 tags, among menus, headers, footers, sidebars, notices, adverts, forms and comments. Pages of the input are not needed.
 
-Pages are read whole, however broken their markup. Null and empty pages, and pages without an article, have an empty
+Pages are read whole, however broken their markup, in time linear in their length. A reference cut by a tag is none. Null and empty pages, and pages without an article, have an empty
 text. Character references are decoded, white space in a block (a line break, too) is one space, blocks are joined by
 one line feed. Rows are independent; repeats and extra columns change nothing; an empty table gives an empty one.
 """
@@ -55,8 +55,9 @@ GROUPS = (
 _GROUP = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 TAGS = ("p", "div", "li", "ul", "h1", "h2", "h3", "section", "article", "main", "blockquote", "pre", "table", "td", "nav", "aside", "header", "footer", "form", "figure")
 _TAG = {t: i for i, t in enumerate(TAGS)}
-_MARK = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)/?>", re.S)
-_NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_OPENING = re.compile(r"<(?:[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_QUOTE_OR_END = re.compile("[\"'>]")
+_NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TRUTH = re.compile(r'data-kept="([01])"')
 _TOKEN = re.compile(r"[a-z]+")
 
@@ -80,6 +81,46 @@ class Node:
             self.truth = int(told[1]) if told else parent.truth
 
 
+class Marks:
+    """The tags of a page, found in time linear in its length whatever its quotes."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.hidden: set[int] = set()  # quotes from which no end of a tag can be reached
+
+    def _end(self, start: int) -> int:
+        """The first ">" from start that is not in quotes, or else the first; there is one."""
+        at, seen = start, []
+        while at <= self.last[">"]:
+            i = _QUOTE_OR_END.search(self.page, at).start()
+            c = self.page[i]
+            if c == ">":
+                return i
+            if i in self.hidden:
+                break
+            seen.append(i)
+            at = self.page.find(c, i + 1) + 1 if i < self.last[c] else i + 1  # a quote without its like is a letter
+        self.hidden.update(seen)
+        return self.page.find(">", start)
+
+    def after(self, place: int) -> tuple[int, int, str, str, str] | None:
+        """The next mark as (start, end, "/" of an end tag, name, attributes); the name of a comment or declaration is empty."""
+        page = self.page
+        if (m := _OPENING.search(page, place)) is None:
+            return None
+        start = m.start()
+        if m[2] is None:
+            close = "-->" if page.startswith("<!--", start) else "]]>" if page.startswith("<![CDATA[", start) else ">"
+            end = page.find(close, start + (4 if close == "-->" else 2))
+            return start, len(page) if end < 0 else end + len(close), "", "", ""
+        if m.end() > self.last[">"]:  # no tag can end any more, a comment or declaration takes the rest
+            found = min((x for x in (page.find("<!", start), page.find("<?", start)) if x >= 0), default=len(page))
+            return found, len(page), "", "", ""
+        end = self._end(m.end())
+        return start, end + 1, m[1], m[2].lower(), page[m.end() : end].removesuffix("/")
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root, and all block elements in page order, the root first."""
     root = Node("#", None)
@@ -96,50 +137,53 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             if links:
                 at.linked += n
 
+    where: dict[str, list[int]] = {}  # places in opened of each tag, and of all holders
+
     def close(upto: int) -> None:
         nonlocal at, unseen, links
         while len(opened) > upto:
-            tag, holder = opened.pop()
-            at = holder
+            tag, at = opened.pop()
+            where[tag].pop()
+            if tag in HOLDERS:
+                where["holders"].pop()
             unseen -= tag in UNSEEN
             links -= tag == "a"
 
-    search = _MARK.search
-    while m := search(page, place):
-        text(page[place : m.start()])
-        place = m.end()
-        tag = m[2]
-        if tag is None:
+    def last(*tags: str) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=-1)
+
+    marks = Marks(page)
+    while mark := marks.after(place):
+        start, end, ending, tag, attributes = mark
+        text(page[place:start])
+        place = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
-            for i in range(len(opened) - 1, -1, -1):
-                if opened[i][0] == tag:
-                    close(i)
-                    break
+        if ending:
+            if (i := last(tag)) >= 0:
+                close(i)
             continue
         if tag in VOID:
             if tag in ("br", "hr") and not unseen:
                 at.content.append(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, place)
-            place = end.end() if end else len(page)
+            after = re.compile(rf"</{tag}\s*+>", re.I).search(page, place)
+            place = after.end() if after else len(page)
             continue
         if tag not in INLINE:
-            ends = ENDS.get(tag)
-            for i in range(len(opened) - 1, -1, -1):
-                x = opened[i][0]
-                if x == "p" or (ends and x in ends):
-                    close(i)
-                    break
-                if x in HOLDERS and not (ends and tag in ("td", "th") and x not in ("tr", "table")):
-                    break
+            ends = ENDS.get(tag, ())
+            over = last("p", *ends)
+            if over >= 0 and over >= (last("tr", "table") if tag in ("td", "th") else last("holders")):
+                close(over)
+        where.setdefault(tag, []).append(len(opened))
+        if tag in HOLDERS:
+            where.setdefault("holders", []).append(len(opened))
         opened.append((tag, at))
         unseen += tag in UNSEEN
         links += tag == "a"
         if tag not in INLINE and not unseen:
-            node = Node(tag, at, m[3])
+            node = Node(tag, at, attributes)
             at.children.append(node)
             at.content.append(node)
             nodes.append(node)
@@ -208,7 +252,7 @@ def text_of(root: Node, kept: set[Node]) -> str:
     blocks, run = [], []
 
     def end() -> None:
-        line = " ".join(html.unescape("".join(run)).split())
+        line = " ".join("".join(run).split())
         if line:
             blocks.append(line)
         run.clear()
@@ -220,7 +264,7 @@ def text_of(root: Node, kept: set[Node]) -> str:
             x = v.content[i]
             i += 1
             if isinstance(x, str):
-                run.append(x)
+                run.append(html.unescape(x) if "&" in x else x)  # each by itself: no reference goes on behind a tag
                 continue
             end()
             if x in kept:
@@ -348,34 +392,40 @@ def _upward(v: Node) -> list[Node]:
     return out
 
 
+#: Elements whose features are held at once; a page with more is judged by itself.
+NODES = 20_000
+
+
 def main_texts(pages: list[str | None], model: FlatTrees) -> list[str]:
-    parsed = [parse(p) if p else None for p in pages]
-    rows: list[list[float]] = []
-    for x in parsed:
-        if x:
-            rows += features(x[1])
-    p = model.probability(np.array(rows)) if rows else np.empty(0)
-    out, at = [], 0
-    for x in parsed:
-        if not x:
-            out.append("")
-            continue
-        root, nodes = x
-        out.append(text_of(root, decode(nodes, p[at : at + len(nodes)])))
-        at += len(nodes)
+    out, held, rows = [], [], []
+
+    def judge() -> None:
+        p, at = model.probability(np.array(rows)) if rows else np.empty(0), 0
+        for i, root, nodes in held:
+            out[i] = text_of(root, decode(nodes, p[at : at + len(nodes)]))
+            at += len(nodes)
+        held.clear()
+        rows.clear()
+
+    for i, page in enumerate(pages):
+        out.append("")
+        if page:
+            root, nodes = parse(page)
+            held.append((i, root, nodes))
+            rows += features(nodes)
+            if len(rows) >= NODES:
+                judge()
+    judge()
     return out
 
 
 def extract_main(pages: DataFrame, page: str = "html", out: str = "text", model: FlatTrees | None = None) -> DataFrame:
-    """pages with a column more: the main text."""
+    """pages with a column more: the main text; a column of that name is replaced."""
     model = model or train_model()
 
     @F.pandas_udf("string")
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            got: list[str] = []
-            for at in range(0, len(s), 256):
-                got += main_texts(s.iloc[at : at + 256].tolist(), model)
-            yield pd.Series(got, index=s.index, dtype=object)
+            yield pd.Series(main_texts(s.tolist(), model), index=s.index, dtype=object)
 
     return bounded_batches(pages).withColumn(out, extract(F.col(page)))
