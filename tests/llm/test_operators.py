@@ -171,6 +171,28 @@ def test_mined_rules_have_their_support_and_confidence(spark):
     assert by["path:bad",].verdict == "block" and abs(by["path:bad",].support - 1 / 3) < 0.01 and by["path:bad",].confidence == 1
 
 
+def test_mined_verdicts_by_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, f"http://{rng.choice(['a', 'b', 'www'])}.site{rng.randrange(5)}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'es', 'fr', 'de'])}/{rng.choice(['p', 'q', 'r/s'])}/{i}{rng.choice(['', '?id=1', '?s=2&id=3', '#top'])}") for i in range(3000)]
+    pages = spark.createDataFrame([*rows, rows[0], (3001, None), (None, "no url")], "page_id long, url string").repartition(7, "url")
+    u = F.col("url")
+    seen = pages.withColumn("host", url_rules.host_of(u)).withColumn("path", url_rules.path_of(u))
+    rule, verdict = url_rules.listed_rule(F.col("host"), F.col("path"))
+    seen = seen.select("page_id", "url", rule.alias("rule"), verdict.alias("verdict"), url_rules.tokens_of(u, F.col("host"), F.col("path")).alias("tokens"))
+    mined = url_rules.mine_rules(seen.where("rule is not null").select("url", "tokens", "verdict"), min_support=0.01, min_confidence=0.6).collect()
+    # support and confidence, counted over
+    labelled = [(set(r.tokens), r.verdict) for r in seen.where("rule is not null").collect()]
+    for r in mined:
+        both, ante = sum(set(r.ante) <= t and v == r.verdict for t, v in labelled), sum(set(r.ante) <= t for t, _ in labelled)
+        assert abs(r.support - both / len(labelled)) < 1e-9 and abs(r.confidence - both / ante) < 1e-9 and r.confidence >= 0.6 and r.anchor in r.ante
+    want = []
+    for r in seen.collect():
+        fits = sorted((-m.confidence, -m.support, -m.n, m.ante, m.verdict) for m in mined if set(m.ante) <= set(r.tokens or []))
+        want.append((r.page_id, r.verdict if r.rule else fits[0][4] if fits else "allow", None if r.rule or not fits else " ".join(fits[0][3])))
+    got = [(r.page_id, r.verdict, r.mined) for r in url_rules.judge_urls(pages, min_support=0.01, min_confidence=0.6).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({v for _, v, m in want if m}) == 2
+
+
 # 4
 def test_top_k_by_brute_force(spark):
     rng = random.Random(3)

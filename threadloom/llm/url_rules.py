@@ -33,6 +33,8 @@ MIN_CONFIDENCE = 0.8
 LONGEST = 3
 #: Rules are broadcast up to this number, joined by shuffle beyond it.
 BROADCAST_RULES = 20_000
+#: The same for sets of tokens with their verdict.
+BROADCAST_SETS = 50_000
 
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -117,13 +119,16 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str,
     if mined.count() <= BROADCAST_RULES:
         index = F.broadcast(index)
     listed = base.where("rule is not null").select("_row", "host", "path", "rule", F.col("listed").alias("verdict"), F.lit(None).cast("string").alias("mined"))
-    rest = base.where("rule is null").withColumn("_id", F.monotonically_increasing_id())
-    met = rest.select("_id", "tokens", F.explode("tokens").alias("anchor")).join(index, "anchor")
+    rest = base.where("rule is null").drop("rule", "listed")
+    # urls with the same tokens get the same verdict, so it is found once for them and comes back by the tokens themselves
+    met = rest.select("tokens").distinct().select("tokens", F.explode("tokens").alias("anchor")).join(index, "anchor")
     fits = F.filter("found", lambda r: F.size(F.array_except(r["ante"], F.col("tokens"))) == 0)
     # the greatest by confidence, support and length; the least by tokens among these
     best = F.array_min(F.transform(fits, lambda r: F.struct((-r["confidence"]).alias("c"), (-r["support"]).alias("s"), (-r["n"]).alias("n"), r["ante"].alias("ante"), r["verdict"].alias("verdict"))))
-    best = met.select("_id", best.alias("best")).where("best is not null").groupBy("_id").agg(F.min("best").alias("best"))
-    other = rest.join(best, "_id", "left").select(
+    best = stage(met.select("tokens", best.alias("best")).where("best is not null").groupBy("tokens").agg(F.min("best").alias("best")), "url-verdicts")
+    if best.count() <= BROADCAST_SETS:
+        best = F.broadcast(best)
+    other = rest.join(best, "tokens", "left").select(
         "_row", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"), F.array_join("best.ante", " ").alias("mined")
     )
     return listed.unionByName(other).select(*[F.col(f"_row.{c}").alias(c) for c in kept], "host", "path", "rule", "verdict", "mined")
