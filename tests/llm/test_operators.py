@@ -367,6 +367,20 @@ def test_ranges_of_ids_join_up(spark):
         assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest()
 
 
+def test_next_rows_of_sparse_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BUCKET", 7)
+    rng = random.Random(21)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(60)] + [5] * 15 + [None] * 15
+    rows = [(i, f"words of row {n} and the number {rng.random()}", "a") for n, i in enumerate(ids)]
+    got = sorted((r.n_chars, r.edited_sha256) for r in spotsigs.fingerprints(_docs(spark, rows)).collect())
+    hashed = {r.text: r.h for r in _docs(spark, rows).select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], hashed[r[1]]), reverse=True)
+    want = []
+    for (_, t, _), (_, u, _) in zip(order, [*order[1:], order[0]], strict=True):
+        want.append((len(t), hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_near_pairs_by_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     classes, pairs = spotsigs.near_pairs(docs)

@@ -9,8 +9,9 @@ Pairs of near fingerprints are found among distinct fingerprints: sets are dealt
 which can reach the threshold meet, each is indexed under its rarest signatures (as many as a partner must share one
 of), and candidates are compared by Jaccard. Rows with equal fingerprints are a class, not pairs.
 
-Repeated rows have results each; a repeated or null id takes part like any other (null orders last). Extra columns are
-ignored. An empty table gives an empty result. Texts are taken whole.
+Repeated rows have results each; a repeated or null id takes part like any other (null orders last, rows with the same id
+by a hash of their texts). Ids are whole numbers, or text that can be read as such. Extra columns are ignored. An empty
+table gives an empty result. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ ANCHORS = (
     "el los las del y una con por para su al lo como más o"
 ).split()
 THRESHOLD = 0.8
-#: Ids in a bucket of the order by id; as many distinct ids meet in a task at most.
-BUCKET = 1024
-BROADCAST_ROWS = 1_000_000
+#: Rows in a bucket of the order by id, and the most buckets; beyond BUCKET x BUCKETS rows buckets grow, and their sorts spill.
+BUCKET, BUCKETS = 1024, 20_000
 
 _UNITS = r"\G((?:(?:" + "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w))) + r") )*+)([^ ]+) "
 
@@ -61,26 +61,44 @@ def as_text(signatures: Column) -> Column:
     return F.array_join(F.transform(signatures, lambda h: F.lower(F.lpad(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), " ")
 
 
+def _buckets(keys: DataFrame) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The least and the greatest (_key, _hash) of each bucket: ranges of about BUCKET rows, whatever the ids are. BUCKETS at most come to the driver."""
+    n = max(1, min(BUCKETS, -(-keys.count() // BUCKET)))
+    ranged = keys.repartitionByRange(n, "_key", "_hash").withColumn("_part", F.spark_partition_id())
+    ends = ranged.groupBy("_part").agg(F.min(F.struct("_key", "_hash")).alias("low"), F.max(F.struct("_key", "_hash")).alias("high")).collect()
+    ends.sort(key=lambda r: tuple(r.low))
+    return [tuple(r.low) for r in ends], [tuple(r.high) for r in ends]
+
+
+def _constant(values: list[int]) -> Column:
+    """array<long>, folded to one literal by the optimizer."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def followed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, _key, _bucket, _guard: rows dealt out by ranges of ids, each range with the first row of the next.
+    """doc_id, text, _key, _hash, _bucket, _guard: rows dealt out by ranges of ids, each range with the first row of the next.
 
-    Only ids and hashes are gathered to find the ranges' first rows, whose copies are the guards; texts move once.
+    Ids and hashes of texts alone are gathered to find the ranges; their first rows are copied as guards, and texts move once.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("_key"))
-    rows = rows.withColumn("_bucket", F.floor(F.col("_key") / BUCKET)).withColumn("_hash", F.xxhash64("text"))
-    first = rows.groupBy("_bucket").agg(F.max(F.struct("_key", "_hash")).alias("f")).select("_bucket", "f._key", "f._hash", F.floor(F.col("_bucket") / BUCKET).alias("_range"))
-    first = stage(first, "spot-buckets")
-    ranges = first.groupBy("_range").agg(F.min("_bucket").alias("lowest"))
-    ranges = ranges.withColumn("above", F.lag("lowest").over(Window.orderBy(F.desc("_range")))).withColumn("bottom", F.min("lowest").over(Window.partitionBy(F.lit(1))))
-    above = F.lag("_bucket").over(Window.partitionBy("_range").orderBy(F.desc("_bucket")))
-    to = first.withColumn("_up", above).join(ranges, "_range").select("_key", "_hash", F.coalesce("_up", "above", "bottom").alias("_to"))
-    to = stage(to, "spot-guards")
-    if to.count() <= BROADCAST_ROWS:
-        to = F.broadcast(to)
-    rows = rows.join(to, ["_key", "_hash"], "left")
-    places = F.when(F.col("_to").isNull(), F.array("_bucket")).otherwise(F.array("_bucket", "_to"))
-    return rows.select("doc_id", "text", "_key", "_hash", F.posexplode(places).alias("_guard", "_bucket"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("_key")).withColumn("_hash", F.xxhash64("text"))
+    low, high = _buckets(rows.select("_key", "_hash"))
+    if not low:
+        return rows.withColumn("_bucket", F.lit(0)).withColumn("_guard", F.lit(0))
+    keys, hashes, top_keys, top_hashes = (_constant([x[i] for x in ends]) for ends in (low, high) for i in (0, 1))
+
+    def not_above(i: Column) -> Column:
+        """Whether a bucket's least row is not above this one."""
+        k, h = F.get(keys, i), F.get(hashes, i)
+        return (k < F.col("_key")) | ((k == F.col("_key")) & (h <= F.col("_hash")))
+
+    # the last bucket that does not start above the row, by halving
+    steps = F.lit([2**i for i in reversed(range(len(low).bit_length()))])
+    bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step < len(low)) & not_above(at + step), at + step).otherwise(at))
+    rows = rows.withColumn("_bucket", bucket)
+    top = (F.get(top_keys, F.col("_bucket")) == F.col("_key")) & (F.get(top_hashes, F.col("_bucket")) == F.col("_hash"))
+    places = F.when(top, F.array("_bucket", (F.col("_bucket") + 1) % len(low))).otherwise(F.array("_bucket"))
+    return rows.withColumn("_places", places).select("doc_id", "text", "_key", "_hash", F.posexplode("_places").alias("_guard", "_bucket"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
