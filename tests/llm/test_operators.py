@@ -457,7 +457,7 @@ def test_substrings_by_brute_force(spark):
         w = [rng.choice("abcdefgh") for _ in range(rng.randrange(0, 90))]
         w[rng.randrange(len(w) + 1) : 0] = passage[rng.randrange(30) :] if i % 3 == 0 else passage[:49] if i % 3 == 1 else []
         rows.append((i, " ".join(w), "a"))
-    rows += [(200, "q " * 300, "a"), (201, "q " * 60 + "r", "a"), (202, None, "a"), (203, "", "a"), (None, rows[0][1] + " end", "a"), (0, rows[0][1], "a")]
+    rows += [(200, "q " * 300, "a"), (201, "q " * 60 + "r", "a"), (205, "r s " * 200 + "t " * 90, "a"), (204, "v " + "r s " * 70 + "t " * 70, "a"), (206, "r s " * 90 + "t " * 75, "a"), (202, None, "a"), (203, "", "a"), (None, rows[0][1] + " end", "a"), (0, rows[0][1], "a")]
     words = [(2**63 - 1 if i is None else i, words_of(t)) for i, t, _ in rows]
     least = {}
     for i, w in words:

@@ -5,10 +5,11 @@ least hash of its runs of gram words: equal windows have equal ones, neighbours
 runs that occur in more than one document, and only windows under these are dealt out by their own hash (96 bits), where
 each learns the smallest id it starts in. What is repeated merges into maximal intervals, and their words are removed.
 
-A task that meets a window again in a document with a greater id marks it at once, so a passage in a third of all
-documents is shuffled about once a batch of rows. Texts are shuffled once, for both the windows and the result.
+A task that meets a window again in a document with a greater id marks it at once, and a document hands on a window once
+however often it has it. So a window in a third of all documents is shuffled about once a task (a partial minimum before
+the shuffle would find nothing more to merge). Texts are shuffled once, for both the windows and the result.
 
-Words are WORD, as they are. Null texts have none. A null id counts as greater than all others. Rows that repeat an id
+Words are WORD, as they are. Null texts have none. Ids are whole numbers, or text that can be read as such. A null id counts as greater than all others. Rows that repeat an id
 are one document with regard to their windows; each is judged. Windows are judged on the input, so what is removed does
 not change what else is. Extra columns stay. An empty table gives an empty result.
 """
@@ -57,7 +58,10 @@ def _grams_of(rows: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def _windows_of(rows: DataFrame, width: int, gram: int) -> DataFrame:
-    """Rows (did, h, w1, w2, pos) for windows still to be judged, and one row with known (positions, as bytes) for each document with windows that the task could judge."""
+    """Rows (did, h, w1, w2, pos, more) for windows still to be judged, one each for a document: where it starts first, and the other places as bytes.
+
+    What the task could judge comes in one row a document, with all places in more and pos -1.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, met = WordHashes(), {}
@@ -65,26 +69,34 @@ def _windows_of(rows: DataFrame, width: int, gram: int) -> DataFrame:
             out = []
             for r in pdf.sort_values("did", kind="stable").itertuples(index=False):
                 words = hashes(words_of(r.text))
-                at = np.nonzero(np.isin(least_grams(words, width, gram), np.asarray(r.grams).view(np.uint64)))[0]
+                at = np.nonzero(np.isin(least_grams(words, width, gram), np.asarray(r.grams).view(np.uint64)))[0].astype(np.int32)
                 if not len(at):
                     continue
                 w1 = window_hashes(words, width)[at].view(np.int64)
                 w2 = window_hashes(words, width, 0xD6E8FEB86659FD93)[at].view(np.int64) >> np.int64(32)
+                keys, more = list(zip(w1.tolist(), w2.tolist(), strict=True)), None
+                if len(set(keys)) < len(keys):  # words that go on repeating
+                    places: dict[tuple[int, int], list[int]] = {}
+                    for i, x in enumerate(keys):
+                        places.setdefault(x, []).append(i)
+                    keys, first = list(places), [p[0] for p in places.values()]
+                    more = np.array([at[p[1:]].tobytes() if len(p) > 1 else None for p in places.values()], dtype=object)
+                    w1, w2, at = w1[first], w2[first], at[first]
                 if len(met) > REMEMBER:
                     met.clear()
-                first = np.array([met.setdefault(x, r.did) for x in zip(w1.tolist(), w2.tolist(), strict=True)], dtype=np.int64)
-                known = first < r.did
-                for x, y in zip(w1[first > r.did].tolist(), w2[first > r.did].tolist(), strict=True):
-                    met[x, y] = r.did
-                new = ~known
+                least = np.array([met.setdefault(x, r.did) for x in keys], dtype=np.int64)
+                known, new = least < r.did, least >= r.did
+                for i in np.nonzero(least > r.did)[0].tolist():
+                    met[keys[i]] = r.did
                 if known.any():
-                    out.append(pd.DataFrame({"did": [r.did], "h": [r.h], "w1": [r.h], "w2": [r.did & 0xFFFF], "pos": [-1], "known": [at[known].astype(np.int32).tobytes()]}))
+                    rest = b"".join(x for x in more[known] if x is not None) if more is not None else b""
+                    out.append(pd.DataFrame({"did": [r.did], "h": [r.h], "w1": [r.h], "w2": [r.did & 0xFFFF], "pos": [-1], "more": [at[known].tobytes() + rest]}))
                 if new.any():
-                    out.append(pd.DataFrame({"did": r.did, "h": r.h, "w1": w1[new], "w2": w2[new], "pos": at[new].astype(np.int32), "known": None}))
+                    out.append(pd.DataFrame({"did": r.did, "h": r.h, "w1": w1[new], "w2": w2[new], "pos": at[new], "more": more[new] if more is not None else None}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    return rows.mapInPandas(run, "did long, h long, w1 long, w2 long, pos int, known binary")
+    return rows.mapInPandas(run, "did long, h long, w1 long, w2 long, pos int, more binary")
 
 
 def kept_words(text: str, positions: np.ndarray, width: int = WIDTH) -> tuple[int, int, str]:
@@ -107,19 +119,19 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     lists = stage(grams.join(again, "g").groupBy("did", "h").agg(F.collect_set("g").alias("grams")), "substring-lists")
     windows = _windows_of(rows.join(lists.hint("shuffle_hash"), ["did", "h"]).select("did", "h", "text", "grams"), width, gram)
     least = F.expr("min(did) over (partition by w1, w2)")
-    found = windows.withColumn("least", least).where("known is not null or did > least")
-    found = found.groupBy("did", "h").agg(F.collect_list(F.when(F.col("pos") >= 0, F.col("pos"))).alias("pos"), F.collect_list("known").alias("known"))
+    found = windows.withColumn("least", least).where("pos < 0 or did > least")
+    found = found.groupBy("did", "h").agg(F.collect_list(F.when(F.col("pos") >= 0, F.col("pos"))).alias("pos"), F.collect_list("more").alias("more"))
 
     @F.pandas_udf("words long, removed long, left string")
     def left(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, pos, known in batches:
+        for texts, pos, more in batches:
             out = []
-            for t, p, k in zip(texts, pos, known, strict=True):
+            for t, p, k in zip(texts, pos, more, strict=True):
                 at = [np.asarray(p, dtype=np.int64)] if p is not None else []
                 at += [np.frombuffer(x, np.int32).astype(np.int64) for x in k] if k is not None else []
                 n, gone, rest = kept_words(t, np.unique(np.concatenate(at)) if at else np.empty(0, np.int64), width)
                 out.append((n, gone, hashlib.sha256(rest.encode("utf-8", "surrogatepass")).hexdigest() if digest else rest))
             yield pd.DataFrame(out, columns=["words", "removed", "left"])
 
-    judged = rows.join(found.hint("shuffle_hash"), ["did", "h"], "left").select("_row", left("text", "pos", "known").alias("x"))
+    judged = rows.join(found.hint("shuffle_hash"), ["did", "h"], "left").select("_row", left("text", "pos", "more").alias("x"))
     return judged.select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns], F.col("x.words").alias("dedup_words"), F.col("x.removed").alias("dedup_removed"), F.col("x.left").alias("dedup_text"))
