@@ -1,7 +1,11 @@
 """Readers, writers and scalars on hand-made inputs."""
 
 import gzip
+import math
+import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import dna, scalars
@@ -66,15 +70,110 @@ def test_tile_keeps_little_overlap(spark):
     assert [r.T_Name for r in intervals.tile(t, least_block=5).collect()] == ["t1", "t2"]
 
 
+def test_fasta_headers_may_hold_the_mark(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">a len>5 b>c\r\nACGT\r\nAC\r\n>b\nGG\n\n>c\n")
+    got = sorted((r.name, r.comment, r.seq) for r in formats.read_fasta(spark, str(tmp_path / "x.fa")).collect())
+    assert got == [("a", "len>5 b>c", "ACGTAC"), ("b", None, "GG"), ("c", None, "")]
+
+
+def test_fastq_in_splits(spark, tmp_path):
+    rng, rows = random.Random(2), []
+    for f in "xy":
+        out = []
+        for i in range(400):
+            n = rng.randrange(1, 60)
+            seq, qual = "".join(rng.choice("ACGT") for _ in range(n)), "".join(rng.choice("@+>IH") for _ in range(n))
+            rows.append((i, f"{f}{i}", "c d" if i % 2 else None, seq, qual))
+            out.append(f"@{f}{i}{' c d' if i % 2 else ''}\n{seq}\n+\n{qual}\n")
+        (tmp_path / f"{f}.fq").write_text("".join(out))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = formats.read_fastq(spark, str(tmp_path / "*.fq"))
+        assert sorted(map(str, (tuple(r)[1:] for r in got.collect()))) == sorted(map(str, rows))
+        assert spark.read.text(str(tmp_path / "*.fq")).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_long_gene_names_are_whole(spark):
+    line = "chr1\tx\tgene\t1\t9\t.\t+\t.\tID=g;Name=" + "n" * 20_000
+    assert formats.gff_genes(spark.createDataFrame([(line,)], "value string")).first().Gene_Name == "n" * 20_000
+
+
 def test_rearrangements(spark):
-    rows = [("q", "+", 0, 100, 0, 100), ("q", "+", 0, 100, 100, 100), ("q", "-", 200, 300, 200, 100), ("q", "+", 100, 400, 300, 300)]
+    rows = [("q", "+", 0, 100, 0, 100), ("q", "+", 0, 100, 100, 100), ("q", "-", 200, 300, 200, 100), ("q", "+", 100, 400, 300, 300), ("none", "+", 5, 5, 0, 0)]
     t = spark.createDataFrame(rows, "Q_Name string, strand string, T_Start long, T_End long, Q_Start long, Block_Len long")
-    r = metrics.rearrangements(t, spark.createDataFrame([("q", 100)], "Q_Name string, ref_len long")).first()
-    assert abs(r.dup + r.inv + r.rel + r.correct - 1) < 1e-9 and r.inv > 0 and r.dup > 0 and abs(r.IGI - (0.6 * r.dup + 0.3 * r.inv + 0.1 * r.rel)) < 1e-9
+    got = {x.Q_Name: x for x in metrics.rearrangements(t).collect()}
+    r = got["q"]
+    # the second row repeats the first; a third of the fourth is covered by the third
+    assert [round(x * 6, 9) for x in (r.dup, r.inv, r.rel, r.correct)] == [2, 1, 0, 3] and abs(r.IGI - (0.6 * 2 + 0.3) / 6) < 1e-9
+    assert tuple(got["none"])[1:] == (0, 0, 0, 0, 0)
+
+
+def _walked(rows, limit):
+    """dup, inv, rel, correct of rows (strand, T_Start, T_End, Q_Start, Block_Len), base by base."""
+    rows = sorted(rows, key=lambda r: (r[3], r[1], r[2], r[0], r[4]))
+    sums = {s: sum(r[4] for r in rows if r[0] == s) for s in "+-"}
+    main, seen, last, out = "+" if sums["+"] >= sums["-"] else "-", set(), None, [0.0] * 4
+    for strand, a, b, _, size in rows:
+        own = set(range(a, b))
+        dup = size * len(own & seen) / len(own) if own else 0
+        seen |= own
+        out[0] += dup
+        if strand != main:
+            out[1] += size - dup
+            continue
+        gap = 0 if last is None else a - last[1] if main == "+" else last[0] - b
+        out[2 if gap < -0.1 * (b - a) or gap > limit else 3] += size - dup
+        last = (a, b)
+    return [x / (sum(out) or 1) for x in out]
+
+
+def test_rearrangements_by_brute_force(spark):
+    rng, rows = random.Random(1), []
+    for q in range(30):
+        for _ in range(rng.randrange(1, 25)):
+            a = rng.randrange(400)
+            rows.append((q, rng.choice("+-"), a, a + rng.randrange(0, 90), rng.randrange(50), rng.randrange(0, 60)))
+    t = spark.createDataFrame(rows, "Q_Name long, strand string, T_Start long, T_End long, Q_Start long, Block_Len long")
+    for r in metrics.rearrangements(t, gap_limit=100).collect():
+        want = _walked([x[1:] for x in rows if x[0] == r.Q_Name], 100)
+        assert all(abs(a - b) < 1e-9 for a, b in zip((r.dup, r.inv, r.rel, r.correct), want, strict=True))
 
 
 def test_quality_needs_a_peak():
-    assert metrics.solve_quality([0, 9, 5, 3], [0, 9, 5, 3], 13) == -1
+    got = metrics.solve_quality([0, 9, 5, 3], [0, 9, 5, 3], 13)
+    assert got["qv"] == -1 and got["cov"] == 1 and metrics.solve_quality([], [], 13)["qv_raw"] == -1
+
+
+def test_quality_of_a_made_table():
+    # counts around 30 with a valley at 6; of the sequence's k-mers 400 are not in the table, and few of low count are
+    hist = [0.0, 90_000.0] + [60_000 / c**2 + 10_000 * math.exp(-(((c - 30) / 7) ** 2)) for c in range(2, 60)]
+    cnt = [400.0, 0.0] + [0.01 * 60_000 / c**2 + 9_000 * math.exp(-(((c - 30) / 7) ** 2)) for c in range(2, 60)]
+    got = metrics.solve_quality(hist, cnt, 31)
+    total = sum(cnt)
+    top = max(range(2, 60), key=lambda c: cnt[c])
+    low = min(range(2, top), key=lambda c: cnt[c])
+    cov = cnt[top] / hist[top]
+    upper = min(1, min(cnt[c] / (cov * hist[c]) for c in range(2, top)))
+    lower = max(0, (cnt[2] - cnt[low]) / (cov * (hist[2] - hist[low]))) if low > 2 and hist[2] > hist[low] else 0
+    share = max(upper / 2 if upper < 0.00004 else 0.00004, lower)
+    assert top == 30 and [got[x] for x in ("cov", "fpr_upper", "fpr_lower")] == pytest.approx([cov, upper, lower])
+    assert got["qv_raw"] == pytest.approx(-10 * math.log10(math.log(total / (total - 400)) / 31))
+    left = dict(enumerate(cnt))
+    for c in range(low, top):
+        left[c] = max(0, cnt[c] - (hist[c] - cnt[c] / cov) / (1 - share) * cov * share)
+    # least squares of a quadratic by its normal equations
+    xs = range(low, low + min(8, top - low + 1))
+    a = np.array([[sum(x ** (i + j) for x in xs) for j in range(3)] for i in range(3)], float)
+    b = np.array([sum(x**i * left[x + 1] / left[x] for x in xs) for i in range(3)])
+    fit = np.linalg.solve(a, b)
+    for c in range(low - 1, -1, -1):
+        left[c] = left[c + 1] / max(1.01, fit[0] + fit[1] * c + fit[2] * c * c)
+    assert got["err"] == pytest.approx(total - sum(left.values()), rel=1e-6) and got["qv"] == pytest.approx(-10 * math.log10(math.log(total / sum(left.values())) / 31), rel=1e-6)
+    # a share of false hits above the upper bound is replaced by half of it
+    assert metrics.solve_quality(hist, cnt, 31, fpr=0.9)["qv"] == pytest.approx(metrics.solve_quality(hist, cnt, 31, fpr=max(upper / 2, lower))["qv"])
 
 
 def test_streamed_reads_map_like_a_batch(spark, tmp_path):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import intervals as op
 from threadloom.operators import metrics, sketch
 from threadloom.plans.registry import query
-from threadloom.plans.relations import SQL_BLOCKS, SQL_BLOCKS2, SQL_GENES, SQL_INTERVALS, SQL_TARGETS, SQL_TILES, blocks, blocks2, genes, intervals, table, targets, tiles
+from threadloom.plans.relations import SQL_BLOCKS, SQL_BLOCKS2, SQL_GENES, SQL_INTERVALS, SQL_PLACED_TILES, SQL_TARGETS, SQL_TILES, blocks, blocks2, genes, intervals, table, targets, tiles
 from threadloom.sources import formats, sinks
 
 
@@ -99,10 +99,28 @@ def mapping_summary(spark: SparkSession, d: str) -> DataFrame:
     return metrics.mapping_summary(t, r, _purity(spark, d)).withColumn("fraction", F.round("fraction", 9))
 
 
-@query("A22_W5_rearrangements", "Q_Name:l dup:d inv:d rel:d correct:d IGI:d")
+#: Stretches between edges belong to the first row over them, so a row's duplicate part is what belongs to rows before it.
+_REARRANGED = f"""with {SQL_PLACED_TILES},
+base as (select "Q_Name", arg_min(base, (-n, base)) as base from (select "Q_Name", base, sum("Block_Len") as n from tiles group by all) group by 1),
+r as (select *, row_number() over (partition by "Q_Name" order by "Q_Start", "T_Start", "T_End", strand, "Block_Len") as rn from tiles semi join base using ("Q_Name", base)),
+main as (select "Q_Name", arg_min(strand, (-n, strand)) as main from (select "Q_Name", strand, sum("Block_Len") as n from r group by all) group by 1),
+edges as (select "Q_Name", "T_Start" as x from r union select "Q_Name", "T_End" from r),
+stretches as (select * from (select "Q_Name", x as a, lead(x) over (partition by "Q_Name" order by x) as b from edges) where b is not null),
+first as (select s."Q_Name", a, b, min(rn) as rn from stretches s join r on r."Q_Name" = s."Q_Name" and r."T_Start" <= a and r."T_End" >= b group by all),
+twice as (select r."Q_Name", r.rn, sum(b - a) as n from r join first f on f."Q_Name" = r."Q_Name" and r."T_Start" <= a and r."T_End" >= b and f.rn < r.rn group by all),
+d as (select r.*, main, "T_End" - "T_Start" as span, "Block_Len" * least(1.0::double, case when "T_End" > "T_Start" then coalesce(n, 0) / ("T_End" - "T_Start")::double else 0 end) as dup
+  from r join main using ("Q_Name") left join twice using ("Q_Name", rn)),
+g as (select *, case when strand = main then case when main = '+' then "T_Start" - lag("T_End") over w else lag("T_Start") over w - "T_End" end end as gap from d window w as (partition by "Q_Name", strand order by rn)),
+k as (select "Q_Name", "Block_Len" - dup as rest, dup, strand = main as is_on, coalesce(gap < -0.1::double * span or gap > 1000000, false) as moved from g),
+t as (select "Q_Name", sum(dup) as dup, sum(case when not is_on then rest else 0 end) as inv, sum(case when is_on and moved then rest else 0 end) as rel, sum(case when is_on and not moved then rest else 0 end) as correct from k group by 1),
+n as (select *, case when dup + inv + rel + correct > 0 then dup + inv + rel + correct else 1 end as whole from t)
+select "Q_Name", round(dup / whole, 9) as dup, round(inv / whole, 9) as inv, round(rel / whole, 9) as rel, round(correct / whole, 9) as correct, round((0.6::double * dup + 0.3::double * inv + 0.1::double * rel) / whole, 9) as "IGI" from n"""
+
+
+@query("A22_W5_rearrangements", "Q_Name:l dup:d inv:d rel:d correct:d IGI:d", _REARRANGED)
 def rearranged(spark: SparkSession, d: str) -> DataFrame:
     t = tiles(spark, d).join(_purity(spark, d).select("Q_Name", F.col("primary_base").alias("base")), ["Q_Name", "base"], "left_semi")
-    return metrics.rearrangements(t, t.groupBy("Q_Name").agg(F.max("T_End").alias("ref_len")))
+    return metrics.rearrangements(t).select("Q_Name", *[F.round(c, 9).alias(c) for c in ("dup", "inv", "rel", "correct", "IGI")])
 
 
 @query("W6_J17_seed_blocks", "read:l ref:l fwd:b qstart:l qend:l tstart:l tend:l n:l", "with s as (select l_suppkey as read, l_orderkey as qpos, l_linenumber % 2 as ref, case when l_returnflag <> 'R' then l_orderkey + l_linenumber else 10000000 - l_orderkey end as tpos, l_returnflag <> 'R' as fwd from lineitem), d as (select *, case when fwd then tpos - qpos else tpos + qpos end as d from s), b as (select *, case when lag(ref) over w = ref and lag(fwd) over w = fwd and abs(d - lag(d) over w) <= 50 then 0 else 1 end as new from d window w as (partition by read order by qpos, ref, tpos)), g as (select *, sum(new) over (partition by read order by qpos, ref, tpos rows unbounded preceding) as block from b) select read, any_value(ref) as ref, any_value(fwd) as fwd, min(qpos) as qstart, max(qpos) as qend, min(tpos) as tstart, max(tpos) as tend, count(*) as n from g group by read, block having count(*) >= 3")

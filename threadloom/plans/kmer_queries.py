@@ -244,7 +244,7 @@ def quality_histogram(spark: SparkSession, d: str) -> DataFrame:
     return metrics.quality_histogram(k, op.count_kmers(targets(spark, d), K))[1]
 
 
-@query("A26_quality_values", "grp:l qv:d")
+@query("A26_quality_values", "grp:l qv:d qv_raw:d err:d cov:d fpr_lower:d fpr_upper:d")
 def quality_values(spark: SparkSession, d: str) -> DataFrame:
     counts = op.count_kmers(targets(spark, d), K)
     hist = op.count_histogram(counts).select("n", F.col("kmers").alias("hist"))

@@ -180,6 +180,12 @@ SQL_TILES = (
     "tiles as (select l_suppkey as \"Q_Name\", 'chr' || (l_partkey % 7) as base, case l_returnflag when 'R' then 'MAT' when 'A' then 'PAT' else 'UNK' end as hap, "
     "'chr' || (l_partkey % 7) || case l_returnflag when 'R' then '_MATERNAL' when 'A' then '_PATERNAL' else '' end as \"T_Name\", l_quantity::bigint as \"Block_Len\" from lineitem)"
 )
+#: The same with strands and places.
+SQL_PLACED_TILES = (
+    "tiles as (select l_suppkey as \"Q_Name\", 'chr' || (l_partkey % 7) as base, case l_returnflag when 'R' then 'MAT' when 'A' then 'PAT' else 'UNK' end as hap, l_quantity::bigint as \"Block_Len\", "
+    "case when l_linestatus = 'O' then '+' else '-' end as strand, l_orderkey * 10 as \"Q_Start\", l_orderkey * 10 + l_quantity::bigint as \"Q_End\", "
+    "l_orderkey * 7 as \"T_Start\", l_orderkey * 7 + l_quantity::bigint as \"T_End\" from lineitem)"
+)
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,10 +105,10 @@ def parse_sequences(text: str) -> Iterator[tuple[str, str | None, str, str | Non
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """file, read_idx (place in the file), name, comment, seq, qual of FASTA and FASTQ files.
+    """file, read_idx (place in the file), name, comment, seq, qual of FASTA and FASTQ files, records on any number of lines.
 
-    A record's bounds depend on what lies before it, so a file is one row; large sets should come in files of a size
-    that fits a task, as sequencers write them.
+    A record's bounds depend on what lies before it, so a file is one row, of 2 GB at most. read_fastq and read_fasta read
+    files of any size in parallel.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,13 +122,33 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name, comment, seq of FASTA files, split between records and so read in parallel; order is not kept."""
-    t = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    """name, comment, seq of FASTA files, split where a line starts with ">" and so read in parallel; order is not kept."""
+    t = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
     head = F.regexp_extract("value", r"^([^\n\r]*)", 1)
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     return t.select(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.nullif(F.regexp_extract(head, r"^\S*\s+(.*)$", 1), F.lit("")).alias("comment"), seq.alias("seq"))
 
 
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """file, read_idx, name, comment, seq, qual of FASTQ files with four lines a record, as sequencers write them; files are read in splits.
+
+    A first pass counts the lines of each split, which gives each line its place in its file; four lines then meet by
+    shuffle. Splits depend on files and settings only, so both passes see the same. Records whose quality is not as long
+    as their sequence, and incomplete ones, go.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("no"), "value")
+    splits = lines.groupBy("file", "block").agg(F.min("no").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    splits = splits.select("file", "block", (before - F.col("first")).alias("shift"))
+    placed = lines.join(splits, ["file", "block"]).withColumn("at", F.col("no") + F.col("shift"))
+    part = lambda i: F.max(F.when(F.col("at") % 4 == i, F.rtrim(F.col("value"), F.lit("\r"))))
+    t = placed.groupBy("file", F.expr("at div 4").alias("read_idx")).agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual"))
+    head = F.substring("head", 2, F.length("head"))
+    return t.where(F.col("head").startswith("@") & (F.length("qual") == F.length("seq"))).select(
+        "file", "read_idx", F.regexp_extract(head, r"^([^ \t]*)", 1).alias("name"), F.nullif(F.regexp_extract(head, r"^[^ \t]*[ \t](.*)$", 1), F.lit("")).alias("comment"), "seq", "qual"
+    )
+
+
 def build_reads(reads: DataFrame, k: int) -> DataFrame:
     """Sequences of k bases or more, which keep their place in the file as owner."""
     return reads.where(F.length("seq") >= k).select(F.col("read_idx").alias("owner"), "seq")
@@ -166,7 +186,9 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
 
 def named_bubble_contigs(lines: DataFrame) -> DataFrame:
     """pair_no, hap1, hap2 from lines (line_no from 0 without gaps, value): consecutive lines that are not empty; an odd last one goes."""
-    full = lines.where(F.trim("value") != "").withColumn("n", F.row_number().over(Window.orderBy("line_no")) - 1)
+    full = lines.where(F.trim("value") != "").withColumn("range", F.floor(F.col("line_no") / 100_000))
+    before = full.groupBy("range").agg(F.count("*").alias("c")).select("range", (F.sum("c").over(Window.orderBy("range")) - F.col("c")).alias("before"))
+    full = full.join(before, "range").withColumn("n", F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("line_no")) - 1)
     names = F.filter(F.transform(F.split("value", ","), lambda x: F.trim(x)), lambda x: x != "")
     g = full.groupBy(F.floor(F.col("n") / 2).alias("pair_no")).agg(F.count("*").alias("c"), F.min_by(names, "n").alias("hap1"), F.max_by(names, "n").alias("hap2"))
     return g.where("c = 2").drop("c")
@@ -187,7 +209,7 @@ def gff_genes(lines: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("#") & (F.size(f) >= 9)).select(f.alias("f")).where("f[2] = 'gene'")
     attrs = F.transform(F.split(F.col("f")[8], ";"), lambda x: F.trim(x))
-    clean = lambda x, n: F.regexp_replace(F.substring(x, n, 9999), '^"|"$', "")
+    clean = lambda x, n: F.regexp_replace(F.substring(x, F.lit(n), F.length(x)), '^"|"$', "")
     named = F.transform(F.filter(attrs, lambda x: x.startswith("Name=") | x.startswith("gene_name=")), lambda x: F.when(x.startswith("Name="), clean(x, 6)).otherwise(clean(x, 11)))
     ids = F.transform(F.filter(attrs, lambda x: x.startswith("ID=")), lambda x: clean(x, 4))
     name = F.coalesce(F.try_element_at(named, F.lit(-1)), F.try_element_at(ids, F.lit(1)), F.lit("Unknown"))
