@@ -194,7 +194,7 @@ def test_mined_verdicts_by_brute_force(spark):
 
 
 # 4
-def test_top_k_by_brute_force(spark):
+def test_top_k_by_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(i, [rng.choice([-1.0, -0.5, 0.0, 0.25, 0.9, 1.0]) for _ in range(7)]) for i in range(900)]
     rows += [(900, None), (901, [1.0, None]), (902, [float("nan")] * 7), (903, [float("inf")] * 7), (904, []), (905, [1.0] * 3), (906, [3.0e4] * 7), (907, [1.0e17] * 7), (None, [1.0] * 7)]
@@ -207,10 +207,39 @@ def test_top_k_by_brute_force(spark):
     got = topk.top_k(df, F.col("vec_id") % 20 == 0).collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    for candidates in (100, 300):  # many cells, with a first pass and runs of cells
+        monkeypatch.setattr(topk, "CANDIDATES", candidates)
+        monkeypatch.setattr(topk, "QUERIES", 16)
+        monkeypatch.setattr(topk, "BLOCK", 32)
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0).collect())) == sorted(want)
     few = topk.top_k(df.where("vec_id < 3"), F.col("vec_id") % 20 == 0)
     assert few.count() == 2
 
 
+def test_repeated_query_ids_are_answered_each_by_itself(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.5, 0.25])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    first = [(20, 1, 1, 4096), (20, 2, 3, 2048), (20, 3, 2, 0), (20, 4, 2, 0)]
+    second = [(20, 1, 2, 4096), (20, 2, 2, 4096), (20, 3, 3, 1024), (20, 4, 1, 0)]
+    assert sorted(map(tuple, got)) == sorted(first + second)
+
+
+def test_sparse_blocks_below_the_first_pass_are_passed_over(monkeypatch):
+    rng = np.random.default_rng(7)
+    blocks = [(np.arange(i * 10, i * 10 + 10), np.zeros((10, 40), np.int64)) for i in range(40)]
+    for i, (_, x) in enumerate(blocks):
+        x[:, i] = rng.integers(1, 9, 10)
+    query = np.zeros((1, 40), np.int64)
+    query[0, 5], query[0, 6] = 3, 1
+    seen, product = [], topk._product
+    monkeypatch.setattr(topk, "_product", lambda a, b: seen.append(len(b)) or product(a, b))
+    who, top = topk.search_cell(np.array([-1]), query, blocks, 3)
+    assert len(seen) <= 4 and set(who[0]) <= set(blocks[5][0]) | set(blocks[6][0])
+    seen.clear()
+    topk.search_cell(np.array([-1]), query, blocks, 3, np.array([100]))
+    assert len(seen) == 2  # the two products that bounds take
+
+
 # 5
 def test_bpe_equals_tiktoken():
     path = public_tokenizers.path(queries.VOCABULARY)
