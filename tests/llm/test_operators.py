@@ -454,6 +454,51 @@ def test_groups_of_several_cells(spark, monkeypatch):
     assert {i: r.n_links for i, r in got.items()} == {i: degree[i] for i, _ in rows} and {r.class_id for r in got.values()} == {0}
 
 
+def test_pairs_near_the_threshold_in_buckets_that_split(spark, monkeypatch):
+    """Half of every text is common to all, so large buckets split again and again; of pairs at 0.8 to 0.85 by far the most are met."""
+    monkeypatch.setattr(chosen_path, "HOT_BUCKETS", 10)
+    rng, rows = random.Random(30), []
+    common = [f"c{i}" for i in range(200)]
+    for i in range(260):
+        own = [f"o{i}x{j}" for j in range(80)]
+        near = [*own[: 80 - rng.randrange(20, 28)], *(f"n{i}x{j}" for j in range(24))]
+        rows += [(2 * i, " ".join([*common, *own])), (2 * i + 1, " ".join([*common, *near]))]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split(" ")]}
+    pairs = [(2 * i, 2 * i + 1) for i in range(260) if 0.8 <= len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) <= 0.85]
+    docs = _docs(spark, [(i, t, "a") for i, t in rows])
+    runs = 2
+    nodes = chosen_path._sketched(docs, "doc_id", "text", runs, 3).select("key", "node", "sampled")
+    name = {r.key: bytes(r.node) for r in nodes.collect()}
+    links = {frozenset((bytes(r.a), bytes(r.b))) for r in chosen_path.candidate_links(nodes.select("node", "sampled"), runs, 3, limit=6).collect()}
+    root = {x: x for x in name.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in map(sorted, (k for k in links if len(k) == 2)):
+        root[find(y)] = find(x)
+    met = sum(find(name[a]) == find(name[b]) for a, b in pairs)
+    assert len(pairs) > 60 and met >= 0.9 * len(pairs)
+
+
+def test_two_least_hashes():
+    rng = np.random.default_rng(8)
+    times, plus = (rng.integers(1, 2**63, (5, 1), dtype=np.uint64) for _ in range(2))
+    for n in (1, 2, 3, 4096, 4097, 9000):
+        tokens = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        got = chosen_path.least_two(tokens, times, plus)
+        want = np.sort(tokens * times + plus, axis=1)
+        assert (got == (want[:, :2] if n > 1 else want[:, [0, 0]])).all()
+
+
+def test_repeated_ids_go_by_their_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    kept = chosen_path.keep_one(_docs(spark, [(3, a, "x"), (5, a, "x"), (5, b, "x"), (6, c, "x"), (7, b + " more", "x")])).collect()
+    assert sorted((r.doc_id, r.text[:1]) for r in kept) == [(3, "a"), (5, "b"), (6, "c")]
+
+
 def test_jaccard_join_of_odd_rows(spark, odd, empty):
     got = chosen_path.jaccard_classes(odd).collect()
     assert len(got) == len(ODD)

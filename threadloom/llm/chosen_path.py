@@ -1,14 +1,17 @@
 """N-gram Jaccard join by chosen paths (operator 8): documents whose sets of five-word shingles reach Jaccard 0.8.
 
-Documents with the same set are one node, so copies are never paired. In each run a node follows a path of sampled
-tokens, at each level the token of its set with the least hash of that run and level, so sets that share most tokens
-stay together and others part. A bucket of at most limit nodes is compared by brute force; larger ones split at the next
-level. Runs repeat until a pair at the threshold, split at every level, is met with the target recall.
+Documents with the same set are one node, so copies are never paired. In each run a node samples BRANCH tokens of its
+set, those with the least hashes of that run, and goes to the bucket of each; so sets that share most tokens meet and
+others part. A bucket of at most limit nodes is compared by brute force; in larger ones each node goes on to the buckets
+of BRANCH tokens sampled by the next level's hash, and so forth. A pair at the threshold t fails to share a sampled token
+with odds (1-t)^2 (2-t) / 2, and runs repeat until such a pair, split at every level, is met with the target recall.
 
-Brute force first compares samples of the sets (a pair at the threshold fails at odds below one in a million) and hands
-on links that hold a bucket's groups together. Groups of nodes thus linked are then checked exactly, all pairs within a
-group in cells of bounded size, where links are counted and not written out one by one; so within a group no link
-between different texts is lost. What is left at the last level is handed on as a group unseen.
+Brute force first compares the samples of all runs and levels (a pair at the threshold fails at odds of about one in a
+hundred thousand) and hands on links that hold a bucket's groups together. Groups of nodes thus linked are then checked
+exactly, all pairs within a group in cells of bounded size, where links are counted and not written out one by one; so
+within a group no link between different texts is lost. What is left at the last level is handed on as a group unseen.
+
+Buckets with more than a thousandth of all rows, a thousand at most, are joined by broadcast, others by shuffle.
 
 Words are WORD, as they are. A text of one to four words has all of them as its one shingle; a null, empty or blank text
 has none and links to nothing. Repeated rows are copies. A null id orders after all others. Extra columns are ignored or
@@ -23,19 +26,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, bounded_batches, mix64, stage, window_hashes, words_of
 from .components import connected
 
-WIDTH, THRESHOLD, RECALL, LEVELS, LIMIT, CELL = 5, 0.8, 0.99, 4, 48, 384
+WIDTH, THRESHOLD, RECALL, LEVELS, BRANCH, LIMIT, CELL = 5, 0.8, 0.9999, 4, 2, 48, 384
+#: How far below the threshold the share of equal samples may be.
+SLACK = 0.35
+HOT_BUCKETS = 1000
 BROADCAST_ROWS = 300_000
 
 
 def runs_for(recall: float, threshold: float, levels: int) -> int:
-    """Runs that meet a pair at the threshold with the recall though every level splits its buckets."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**levels)))
+    """Runs that meet a pair at the threshold with the recall though every level splits its buckets.
+
+    Of the union's tokens in order of hash, one that both sets have comes before either has two of its own.
+    """
+    d = 1 - threshold
+    met = (1 - d * d * (1 + d) / 2) ** levels
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
 def shingles(text: str | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -48,35 +59,38 @@ def set_digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def least_two(tokens: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
+    """The two least hashes of a set under each function; of one token, the same twice."""
+    low = np.full((len(times), 2), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(tokens), 4096):
+        h = np.concatenate([tokens[at : at + 4096] * times + plus, low], axis=1) if at else tokens * times + plus if len(tokens) <= 4096 else tokens[:4096] * times + plus
+        low[:, 0] = h.min(1)
+        h[h == low[:, :1]] = np.iinfo(np.uint64).max
+        low[:, 1] = h.min(1)
+    if len(tokens) == 1:
+        low[:, 1] = low[:, 0]
+    return low
+
+
 def _sketched(docs: DataFrame, key: str, text: str, runs: int, levels: int) -> DataFrame:
-    """key, node (digest of the set, null if empty), paths (run by run, level by level) and sample (least hashes)."""
+    """key, h (hash of the text), node (digest of the set, null if empty) and sampled: BRANCH hashes for each run and level."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, k = WordHashes(), runs * levels
         seeds = mix64(np.arange(1, 2 * k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         times, plus = (seeds[:k] | np.uint64(1))[:, None], seeds[k:][:, None]
-        which = np.arange(runs, dtype=np.uint64)
         for pdf in batches:
             rows = []
             for t in pdf["_t"]:
                 tokens = shingles(t, hashes)
-                if not len(tokens):
-                    rows.append((None, None, None))
-                    continue
-                least = np.full(k, np.iinfo(np.uint64).max, dtype=np.uint64)
-                for at in range(0, len(tokens), 4096):
-                    np.minimum(least, (tokens[at : at + 4096] * times + plus).min(1), out=least)
-                path, paths = mix64(which + np.uint64(77)), []
-                for level in range(levels):
-                    path = mix64(path ^ least.reshape(runs, levels)[:, level])
-                    paths.append(path)
-                rows.append((set_digest(tokens), np.stack(paths, axis=1).reshape(-1).view(np.int64), (least >> np.uint64(32)).astype(np.uint32).tobytes()))
-            out = pd.DataFrame(rows, columns=["node", "paths", "sample"])
+                rows.append((set_digest(tokens), least_two(tokens, times, plus).reshape(-1).view(np.int64)) if len(tokens) else (None, None))
+            out = pd.DataFrame(rows, columns=["node", "sampled"])
             out.insert(0, "key", pdf["_k"].to_numpy())
+            out.insert(1, "h", pdf["_h"].to_numpy())
             yield out
 
-    return bounded_batches(docs).select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInPandas(run, f"key {kind}, node binary, paths array<long>, sample binary")
+    return bounded_batches(docs).select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(text).alias("_h")).mapInPandas(run, f"key {kind}, h long, node binary, sampled array<long>")
 
 
 def _roots(alike: np.ndarray) -> np.ndarray:
@@ -98,13 +112,9 @@ def _bucket_links(buckets: DataFrame, least_share: float) -> DataFrame:
         for pdf in batches:
             a, b = [], []
             for nodes, samples in zip(pdf["nodes"], pdf["samples"], strict=True):
-                m = np.frombuffer(b"".join(samples), np.uint32).reshape(len(nodes), -1)
-                if len(nodes) == 2:
-                    if (m[0] == m[1]).mean() >= least_share:
-                        a.append(nodes[0])
-                        b.append(nodes[1])
-                    continue
-                root = _roots((m[:, None, :] == m[None, :, :]).mean(2) >= least_share)
+                x, y = (np.stack([s[i::BRANCH] for s in samples]) for i in range(BRANCH))
+                both = [(p[:, None, :] == q[None, :, :]).mean(2) for p, q in ((x, x), (y, y), (x, y), (y, x))]
+                root = _roots(sum(both) / BRANCH >= least_share)
                 for i in np.nonzero(root != np.arange(len(root)))[0]:
                     a.append(nodes[i])
                     b.append(nodes[root[i]])
@@ -113,25 +123,41 @@ def _bucket_links(buckets: DataFrame, least_share: float) -> DataFrame:
     return buckets.mapInPandas(run, "a binary, b binary")
 
 
+def _with_counts(now: DataFrame) -> DataFrame:
+    """node, run, p, n (nodes of the bucket), least, for buckets of two nodes or more; a bucket with very many rows is not dealt to one task."""
+    counts = stage(now.groupBy("p").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "path-counts")
+    most = (counts.agg(F.sum("n")).first()[0] or 0) / HOT_BUCKETS
+    hot = F.broadcast(counts.where(F.col("n") > most)) if most > LIMIT else None
+    if hot is None:
+        return stage(now.join(counts, "p"), "path-level")
+    rest = now.join(hot.select("p"), "p", "left_anti").join(counts.where(F.col("n") <= most), "p")
+    return stage(now.join(hot, "p").unionByName(rest), "path-level")
+
+
 def candidate_links(nodes: DataFrame, runs: int, levels: int = LEVELS, limit: int = LIMIT, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b) among nodes (node, paths, sample) that chosen paths bring together."""
-    first = F.explode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.slice("paths", r * levels + 1, levels)))
-    now = nodes.select("node", first.alias("path"))
-    small, rest = [], None
+    """Links (a, b) among nodes (node, sampled) that chosen paths bring together."""
+
+    def sampled(level: int) -> Column:
+        return F.array_distinct(F.slice("sampled", (F.col("run") * levels + level) * BRANCH + 1, BRANCH))
+
+    now = nodes.select("node", "sampled", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).select("node", "run", F.explode(sampled(0)).alias("t"))
+    now = now.select("node", "run", F.xxhash64("run", "t").alias("p"))
+    rows, rest = None, None
     for level in range(levels):
-        now = now.withColumn("p", F.get("path", F.lit(level)))
-        counts = now.groupBy("p").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-        met = stage(now.join(counts, "p"), "path-level")
-        small.append(met.where(F.col("n") <= limit).select("p", "node"))
+        met = _with_counts(now)
+        small = met.where(F.col("n") <= limit).select("p", "node")
+        rows = small if rows is None else rows.union(small)
         large = met.where(F.col("n") > limit)
         if level == levels - 1:
             rest = large.where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-        now = large.select("node", "path")
-    rows = small[0]
-    for x in small[1:]:
-        rows = rows.union(x)
-    buckets = rows.join(nodes.select("node", "sample"), "node").groupBy("p").agg(F.collect_list("node").alias("nodes"), F.collect_list("sample").alias("samples"))
-    return _bucket_links(buckets.select("nodes", "samples"), threshold - 0.3).union(rest).distinct()
+        elif large.limit(1).count() == 0:
+            rest = rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+            break
+        else:  # nodes of large buckets take their next tokens along
+            now = large.select("node", "run", "p").join(nodes.select("node", "sampled"), "node").select("node", "run", "p", F.explode(sampled(level + 1)).alias("t"))
+            now = stage(now.select("node", "run", F.xxhash64("p", "t").alias("p")), "path-next")
+    buckets = rows.join(nodes.select("node", "sampled"), "node").groupBy("p").agg(F.collect_list("node").alias("nodes"), F.collect_list("sampled").alias("samples"))
+    return _bucket_links(buckets.select("nodes", "samples"), threshold - SLACK).union(rest).distinct()
 
 
 def cell_links(ids: list[bytes], sets: list[np.ndarray], weights: np.ndarray, left: np.ndarray | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -206,11 +232,11 @@ def _checked(texts: DataFrame, threshold: float) -> DataFrame:
     return cells.select("node", "grp", "blocks", "block", "weight", "tokens", "i", "j").mapInPandas(check, "node binary, links long, root binary, alone boolean")
 
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
-    """Per row: key, class_id (least id of the rows joined to it by links), copy_id (least id with its set), n_copies, n_links (rows linked to it)."""
+def _classes(docs: DataFrame, key: str, text: str, threshold: float, recall: float, levels: int) -> DataFrame:
+    """key, h (hash of the text), class_id, copy_id, n_copies, n_links."""
     runs = runs_for(recall, threshold, levels)
     rows = stage(_sketched(docs, key, text, runs, levels), "path-rows")
-    nodes = stage(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("copy_id"), F.count("*").alias("n_copies"), F.first("paths").alias("paths"), F.first("sample").alias("sample")), "path-nodes")
+    nodes = stage(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("copy_id"), F.count("*").alias("n_copies"), F.first("sampled").alias("sampled")), "path-nodes")
     links = stage(candidate_links(nodes, runs, levels, threshold=threshold), "path-links")
     groups = connected(links).withColumnRenamed("root", "grp").withColumnRenamed("id", "node")
     sizes = groups.groupBy("grp").agg(F.count("*").alias("size"))
@@ -227,14 +253,23 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     named = nodes.select("node", "copy_id", "n_copies").join(classes.distinct(), "node", "left").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
     least = named.where("root is not null").groupBy("root").agg(F.min("copy_id").alias("least"))
     named = stage(named.join(least, "root", "left").select("node", F.coalesce("least", "copy_id").alias("class_id"), "copy_id", "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links")), "path-classes")
-    out = rows.select("key", "node").join(named, "node", "left")
-    return out.select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), F.coalesce("copy_id", "key").alias("copy_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = rows.select("key", "h", "node").join(named, "node", "left")
+    return out.select("key", "h", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("copy_id", "key").alias("copy_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
+    """Per row: key, class_id (least id of the rows joined to it by links), copy_id (least id with its set), n_copies, n_links (rows linked to it)."""
+    return _classes(docs, key, text, threshold, recall, levels).drop("h").withColumnRenamed("key", key)
+
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
+    """docs without the rows of a class but for that with its least id, and without rows that repeat it; columns stay. Null ids stay.
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
-    """docs without the rows of a class but for that with its least id, and without rows that repeat it; columns stay. Null ids stay."""
-    judged = stage(jaccard_classes(docs, key, text, **options), "path-judged")
-    gone = stage(judged.where(F.col(key) != F.col("class_id")).select(key).distinct(), "path-gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")
-    again = judged.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
+    Rows that repeat an id with another text are judged each by its text.
+    """
+    judged = stage(_classes(docs, key, text, threshold, recall, levels), "path-judged")
+    gone = stage(judged.where(F.col("key") != F.col("class_id")).select(F.col("key").alias("_gone"), F.col("h").alias("_hash")).distinct(), "path-gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.join(gone, (F.col(key) == F.col("_gone")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
+    again = judged.where(F.col("key").isNotNull()).groupBy("key").count().where("count > 1").limit(1).count()
     return (kept.where(F.col(key).isNotNull()).dropDuplicates([key, text]).unionByName(kept.where(F.col(key).isNull())) if again else kept).select(*docs.columns)
