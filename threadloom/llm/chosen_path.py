@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, bounded_batches, mix64, stage, window_hashes, words_of
 from .components import connected
 
-WIDTH, THRESHOLD, RECALL, LEVELS, BRANCH, LIMIT, CELL = 5, 0.8, 0.9999, 4, 2, 48, 384
+WIDTH, THRESHOLD, RECALL, LEVELS, BRANCH, LIMIT, CELL = 5, 0.8, 0.9999, 4, 2, 256, 384
 #: How far below the threshold the share of equal samples may be.
 SLACK = 0.35
 HOT_BUCKETS = 1000
@@ -113,8 +113,11 @@ def _bucket_links(buckets: DataFrame, least_share: float) -> DataFrame:
             a, b = [], []
             for nodes, samples in zip(pdf["nodes"], pdf["samples"], strict=True):
                 x, y = (np.stack([s[i::BRANCH] for s in samples]) for i in range(BRANCH))
-                both = [(p[:, None, :] == q[None, :, :]).mean(2) for p, q in ((x, x), (y, y), (x, y), (y, x))]
-                root = _roots(sum(both) / BRANCH >= least_share)
+                both = np.zeros((len(nodes), len(nodes)), np.int32)
+                for i in range(x.shape[1]):
+                    for p, q in ((x, x), (y, y), (x, y), (y, x)):
+                        both += p[:, None, i] == q[None, :, i]
+                root = _roots(both >= least_share * BRANCH * x.shape[1])
                 for i in np.nonzero(root != np.arange(len(root)))[0]:
                     a.append(nodes[i])
                     b.append(nodes[root[i]])

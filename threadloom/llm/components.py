@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
+HOT_NODES = 1000
+
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a, b) to (id, root), root being the least id of the component; for ids that an edge names.
@@ -19,9 +21,14 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = _mark(now)
     for _ in range(rounds):
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        # nodes with more than a thousandth of all edges, a thousand or two, are joined by broadcast, so that none fills a task
+        most = max(2 * mark[0] // HOT_NODES, 64)
+        hot = F.broadcast(least.where(F.col("n") > most))
+        above = both.where("b > a")
+        met = above.join(hot, "a").unionByName(above.join(hot.select("a"), "a", "left_anti").join(least.where(F.col("n") <= most), "a"))
         # large star: neighbours above a node go to the least of its neighbourhood
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         # small star: neighbours below a node, and the node, go to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(least)
