@@ -6,7 +6,7 @@ others part. A bucket of at most limit nodes is compared by brute force; in larg
 of BRANCH tokens sampled by the next level's hash, and so forth. A pair at the threshold t fails to share a sampled token
 with odds (1-t)^2 (2-t) / 2, and runs repeat until such a pair, split at every level, is met with the target recall.
 
-Brute force first compares the samples of all runs and levels (a pair at the threshold fails at odds of about one in a
+Brute force first compares the samples of all runs and levels (a pair at the threshold fails at odds of a few in a
 hundred thousand) and hands on links that hold a bucket's groups together. Groups of nodes thus linked are then checked
 exactly, all pairs within a group in cells of bounded size, where links are counted and not written out one by one; so
 within a group no link between different texts is lost. What is left at the last level is handed on as a group unseen.
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import WordHashes, bounded_batches, mix64, stage, window_hashes, words_of
 from .components import connected
 
-WIDTH, THRESHOLD, RECALL, LEVELS, BRANCH, LIMIT, CELL = 5, 0.8, 0.9999, 4, 2, 256, 384
+WIDTH, THRESHOLD, RECALL, LEVELS, BRANCH, LIMIT, CELL = 5, 0.8, 0.999, 4, 2, 256, 384
 #: How far below the threshold the share of equal samples may be.
-SLACK = 0.35
+SLACK = 0.4
 HOT_BUCKETS = 1000
 BROADCAST_ROWS = 300_000
 
