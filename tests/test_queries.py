@@ -37,7 +37,7 @@ def test_every_query_has_sql_or_is_known_to_have_none():
     none = set(registry.queries()) - set(SQL)
     assert none == {
         "F21_minimum_hash", "W8_canonical_minimizers", "W9_modimizers", "W10_distinct_minimizers", "A26_quality_values", "Q3_strict_mapping", "J8_chain_ends_met", "A20_G20_pure_degrees", "G21_G22_chains", "G16_G17_classify_tips",
-        "G18_G19_repair_arcs", "G26_P13_greedy_paths", "G27_exhaustive_paths", "G28_G29_breadth_first_paths", "G31_topological_order", "T1_P14_tile"
+        "G18_G19_repair_arcs", "G26_P13_greedy_paths", "G27_exhaustive_paths", "G28_G29_breadth_first_paths", "G31_topological_order", "T1_P14_tile", "G33_G23_phased_chains", "G34_plant_paths", "G29_depth_first_paths",
     }
 
 

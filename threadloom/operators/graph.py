@@ -225,6 +225,21 @@ def chain_ends_met(arcs: DataFrame, chains: DataFrame, used: DataFrame) -> DataF
     return met.groupBy("begin", "end").agg(F.min(F.struct("side", "w")).alias("m")).select("begin", "end", "m.side", "m.w")
 
 
+def union_of_sets(*sets: DataFrame) -> DataFrame:
+    """seg_id, n_sets: segments of any of the sets of vertices (node), such as components and haplotype chains, and how many have it."""
+    marked = [x.select(segment_of(F.col("node")).alias("seg_id")).distinct() for x in sets]
+    both = marked[0]
+    for x in marked[1:]:
+        both = both.unionByName(x)
+    return both.groupBy("seg_id").agg(F.count("*").alias("n_sets"))
+
+
+def neighbours(arcs: DataFrame) -> DataFrame:
+    """v, after, before: sorted vertices that a vertex leads to and comes from, for a listing of a graph."""
+    a = arcs.select("v", F.col("w").alias("after"), F.lit(None).cast("long").alias("before")).unionByName(arcs.select(F.col("w").alias("v"), F.lit(None).cast("long").alias("after"), F.col("v").alias("before")))
+    return a.groupBy("v").agg(F.array_sort(F.collect_set("after")).alias("after"), F.array_sort(F.collect_set("before")).alias("before"))
+
+
 def graph_summary(bubbles: DataFrame, haps: DataFrame, chains: DataFrame, segments: DataFrame) -> DataFrame:
     """Distinct segments in bubbles (node), haplotype chains (node) and chains (node), and those in none."""
     kinds = bubbles.select("node", F.lit("bubble").alias("kind")).union(haps.select("node", F.lit("hap"))).union(chains.select("node", F.lit("chain")))

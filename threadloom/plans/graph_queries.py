@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators import graph, walks
@@ -327,3 +327,58 @@ def joined(spark: SparkSession, d: str) -> DataFrame:
     s = ladder_segments(spark, d).select("seg_id", "n", F.substring(F.lit("ACGT" * 20), F.lit(1), (F.col("n") + 5).cast("int")).alias("seq"))
     p = s.select(F.expr("seg_id div 64").alias("path"), F.col("n").alias("ord"), (F.col("seg_id") * 2).alias("v"))
     return walks.join_sequences(p, s, ladder(spark, d)).select("path", F.length("seq").alias("len"), "is_valid")
+
+
+def _long_ladder(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Segments and arcs of the ladder, where orders of four or seven lines, which end in one vertex, go on to the next such order of their customer."""
+    s = ladder_segments(spark, d)
+    orders = s.withColumn("o", F.expr("seg_id div 64")).groupBy("o").agg(F.min("seg_id").alias("a"), F.max_by(F.struct("seg_id", "len"), "seg_id").alias("z"), F.count("*").alias("c")).where("c in (4, 7)")
+    orders = orders.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("o"), "o_custkey"), "o")
+    after = Window.partitionBy("o_custkey").orderBy("o")
+    links = orders.select(F.col("z.seg_id").alias("v"), F.col("z.len").alias("len"), F.lead("a").over(after).alias("w")).where("w is not null")
+    sizes = s.select(F.col("seg_id").alias("w"), F.col("len").alias("w_len"))
+    links = links.join(sizes, "w")
+    both = links.select((F.col("v") * 2).alias("v"), (F.col("w") * 2).alias("w"), F.lit(7).cast("long").alias("ol"), (F.col("len") - 7).alias("arc_len"))
+    both = both.union(links.select((F.col("w") * 2 + 1).alias("v"), (F.col("v") * 2 + 1).alias("w"), F.lit(7).cast("long").alias("ol"), (F.col("w_len") - 7).alias("arc_len")))
+    segments = s.select("seg_id", F.concat(F.lit("s"), "seg_id").alias("name"), F.substring(F.lit("ACGT" * 20), F.lit(1), (F.col("n") + 5).cast("int")).alias("seq"), "len")
+    return settle(segments), settle(ladder(spark, d).select("v", "w", "ol", "arc_len").unionByName(both))
+
+
+@query("G33_G23_phased_chains", "begin:l end_:l length:l n_nodes:l")
+def phased(spark: SparkSession, d: str) -> DataFrame:
+    from threadloom.plans.drivers import phase
+
+    return phase(*_long_ladder(spark, d), least_path=30_000).long.withColumnRenamed("end", "end_")
+
+
+@query("G34_plant_paths", "component:l path_no:l ord:l v:l")
+def plant_paths(spark: SparkSession, d: str) -> DataFrame:
+    from threadloom.plans.drivers import phase
+
+    return phase(*_long_ladder(spark, d), least_path=30_000, plant=True).paths
+
+
+@query("G29_depth_first_paths", "component:l start:l ord:l v:l complete:b")
+def depth_first(spark: SparkSession, d: str) -> DataFrame:
+    return walks.depth_first_paths(ladder(spark, d), ladder_members(spark, d), _tipped(spark, d))
+
+
+@query("K5_lengthless_graph_lines", "value:s", f"with {SQL_LADDER} select 'S' || chr(9) || 's' || seg_id || chr(9) || '*' as value from lines union all select 'L' || chr(9) || 's' || (v >> 1) || chr(9) || case when v % 2 = 0 then '+' else '-' end || chr(9) || 's' || (w >> 1) || chr(9) || case when w % 2 = 0 then '+' else '-' end || chr(9) || '0M' from ladder")
+def lengthless(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.lengthless_graph_lines(ladder(spark, d), _named(spark, d))
+
+
+@query("K5_main_graph_lines", "value:s", f"with {SQL_LADDER}, {_CHAINS}, e as (select distinct begin, \"end\" from chains) select distinct 'S' || chr(9) || 's' || (begin >> 1) || chr(9) || '*' as value from e where begin % 2 = 0 union all select 'L' || chr(9) || 's' || (begin >> 1) || chr(9) || case when begin % 2 = 0 then '+' else '-' end || chr(9) || 's' || (\"end\" >> 1) || chr(9) || case when \"end\" % 2 = 0 then '+' else '-' end || chr(9) || '0M' from e")
+def main_graph(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.main_graph_lines(_chains(spark, d), _named(spark, d))
+
+
+@query("G35_neighbours", "v:l after:s before:s", f"with {SQL_PART_ARCS}, a as (select distinct v, w from part_arcs), x as (select v, w as after, null as before from a union all select w, null, v from a) select v, coalesce(string_agg(after::varchar, ' ' order by after), '') as after, coalesce(string_agg(before::varchar, ' ' order by before), '') as before from x group by v")
+def listed(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbours(part_arcs(spark, d)).select("v", *[F.array_join(c, " ").alias(c) for c in ("after", "before")])
+
+
+@query("O8_union_of_sets", "seg_id:l n_sets:l", f"with {SQL_PART_ARCS}, x as (select distinct v >> 1 as seg_id, 1 as k from part_arcs where ol > 25 union all select distinct w >> 1, 2 from part_arcs where ol < 10 union all select p_partkey, 3 from part where p_size > 40) select seg_id, count(*) as n_sets from x group by seg_id")
+def union_of_sets(spark: SparkSession, d: str) -> DataFrame:
+    a = part_arcs(spark, d)
+    return graph.union_of_sets(a.where("ol > 25").select(F.col("v").alias("node")), a.where("ol < 10").select(F.col("w").alias("node")), table(spark, d, "part").where("p_size > 40").select((F.col("p_partkey") * 2).alias("node")))

@@ -175,3 +175,29 @@ def top_tiles(spark: SparkSession, d: str) -> DataFrame:
 def sorted_tiles(spark: SparkSession, d: str) -> DataFrame:
     """Every tile with its rank in the order of its contig."""
     return tiles(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("Q_Name").orderBy(F.desc("Matches"), "Q_Start", "T_Name")))
+
+
+@query("S9_S10_paf_rows", "Q_Name:s Q_Len:l Q_Start:l Q_End:l Strand:s T_Name:s T_Start:l Matches:l Block_Len:l MapQ:l", "select 'q' || l_suppkey as \"Q_Name\", 100000 as \"Q_Len\", l_orderkey * 10 as \"Q_Start\", l_orderkey * 10 + l_quantity::bigint as \"Q_End\", case when l_linestatus = 'O' then '+' else '-' end as \"Strand\", 't' || (l_partkey % 7) as \"T_Name\", l_orderkey * 7 as \"T_Start\", l_linenumber as \"Matches\", l_quantity::bigint as \"Block_Len\", case when l_returnflag = 'R' then null else 60 end as \"MapQ\" from lineitem where l_returnflag <> 'A'")
+def paf_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an alignment file: twelve columns and a tag, eleven for those returned, and some of too few."""
+    q = F.col("l_quantity").cast("long")
+    f = [F.concat(F.lit("q"), "l_suppkey"), F.lit(100_000), F.col("l_orderkey") * 10, F.col("l_orderkey") * 10 + q, F.when(F.col("l_linestatus") == "O", "+").otherwise("-"), F.concat(F.lit("t"), F.col("l_partkey") % 7), F.lit(90_000), F.col("l_orderkey") * 7, F.col("l_orderkey") * 7 + q, F.col("l_linenumber"), q]
+    whole = F.concat_ws("\t", *[x.cast("string") for x in f])
+    value = F.when(F.col("l_returnflag") == "N", F.concat(whole, F.lit("\t60\ttp:A:P"))).when(F.col("l_returnflag") == "R", whole).otherwise(F.concat_ws("\t", *[x.cast("string") for x in f[:9]]))
+    return formats.paf_rows(table(spark, d, "lineitem").select(value.alias("value")))
+
+
+@query("S11_contact_rows", "i:l j:l fwd:l bwd:l", "with t as (select l_partkey as i, l_suppkey as j, l_linenumber as fwd, l_quantity::bigint as bwd, l_orderkey * 100 + l_linenumber as line_no from lineitem), b as (select * from t union all select j, i, fwd, bwd, line_no from t) select i, j, arg_max(fwd, line_no) as fwd, arg_max(bwd, line_no) as bwd from b group by i, j")
+def contact_rows(spark: SparkSession, d: str) -> DataFrame:
+    value = F.concat_ws("\t", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("long"))
+    return formats.contact_rows(table(spark, d, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line_no"), value.alias("value")))
+
+
+@query("S5_fastq_records", "read_idx:l name:s comment:s len:l qual:s", "select item_id as read_idx, 'r' || item_id as name, case when item_id % 2 = 0 then 'x=1 y' end as comment, 1 + item_id % 30 as len, repeat('@', (1 + item_id % 30)::int) as qual from benchmark where item_id % 7 <> 3")
+def fastq_records(spark: SparkSession, d: str) -> DataFrame:
+    """Passages as lines of a file; the quality of some is too short."""
+    n = (F.col("item_id") % 30 + 1).cast("int")
+    head = F.concat(F.lit("@r"), "item_id", F.when(F.col("item_id") % 2 == 0, " x=1 y").otherwise(""))
+    four = F.array(head, F.repeat(F.lit("A"), n), F.lit("+"), F.concat(F.repeat(F.lit("@"), n - 1), F.when(F.col("item_id") % 7 == 3, "").otherwise("@")))
+    lines = table(spark, d, "benchmark").select("item_id", F.posexplode(four).alias("i", "value"))
+    return formats.fastq_records(lines.select(F.lit("f").alias("file"), (F.col("item_id") * 4 + F.col("i")).alias("at"), "value")).withColumn("len", F.length("seq"))

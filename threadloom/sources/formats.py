@@ -45,6 +45,14 @@ def gfa_links(lines: DataFrame) -> DataFrame:
     )
 
 
+def numbered_by(df: DataFrame, name: str) -> DataFrame:
+    """name, no: distinct values of a column in their order, from 0; windows are over counts of ranges by first letters, then within each."""
+    one = df.select(name).distinct().withColumn("part", F.substring(name, 1, 6))
+    before = one.groupBy("part").agg(F.count("*").alias("n"))
+    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return one.join(before, "part").select(name, (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(name)) - 1).alias("no"))
+
+
 def intern_segments(segments: DataFrame, links: DataFrame) -> DataFrame:
     """seg_id in order of first sight on S or L lines, name, seq, len (0 for names that only links have).
 
@@ -140,7 +148,11 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("file", "block").agg(F.min("no").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
     splits = splits.select("file", "block", (before - F.col("first")).alias("shift"))
-    placed = lines.join(splits, ["file", "block"]).withColumn("at", F.col("no") + F.col("shift"))
+    return fastq_records(lines.join(splits, ["file", "block"]).withColumn("at", F.col("no") + F.col("shift")))
+
+
+def fastq_records(placed: DataFrame) -> DataFrame:
+    """file, read_idx, name, comment, seq, qual from lines (file, at: place from 0, value), four a record."""
     part = lambda i: F.max(F.when(F.col("at") % 4 == i, F.rtrim(F.col("value"), F.lit("\r"))))
     t = placed.groupBy("file", F.expr("at div 4").alias("read_idx")).agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual"))
     head = F.substring("head", 2, F.length("head"))
@@ -160,16 +172,24 @@ def class_quality_reads(reads: DataFrame) -> DataFrame:
 
 
 def read_paf(spark: SparkSession, path: str) -> DataFrame:
+    return paf_rows(spark.read.text(path))
+
+
+def paf_rows(lines: DataFrame) -> DataFrame:
     """Alignments of twelve columns (ten at least); shorter rows go, further columns are ignored."""
     f = F.split("value", "\t")
     names = [c.strip().split(" ") for c in PAF.split(",")]
-    return spark.read.text(path).where(F.size(f) >= 10).select(*[F.get(f, F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
+    return lines.where(F.size(f) >= 10).select(*[F.get(f, F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
 
 
 def read_contacts(spark: SparkSession, path: str, legacy_swap: bool = False) -> DataFrame:
-    """i, j, fwd, bwd in both directions; of lines for one pair the last counts. legacy_swap takes the third column as bwd."""
+    return contact_rows(_numbered(spark.read.text(path)), legacy_swap)
+
+
+def contact_rows(lines: DataFrame, legacy_swap: bool = False) -> DataFrame:
+    """i, j, fwd, bwd in both directions; of lines (line_no, value) for one pair the last counts. legacy_swap takes the third column as bwd."""
     f = F.split(F.trim("value"), r"\s+")
-    t = _numbered(spark.read.text(path)).where(F.size(f) >= 4).select("line_no", *[F.get(f, F.lit(k)).try_cast("long").alias(c) for k, c in enumerate(("i", "j", "fwd", "bwd"))])
+    t = lines.where(F.size(f) >= 4).select("line_no", *[F.get(f, F.lit(k)).try_cast("long").alias(c) for k, c in enumerate(("i", "j", "fwd", "bwd"))])
     t = t.where("i is not null and j is not null")
     if legacy_swap:
         t = t.select("line_no", "i", "j", F.col("bwd").alias("fwd"), F.col("fwd").alias("bwd"))

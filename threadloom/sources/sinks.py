@@ -39,6 +39,38 @@ def write_chain_graph(chains: DataFrame, segments: DataFrame, path: str) -> None
     gfa_chain_lines(chains, segments).write.mode("overwrite").text(path)
 
 
+def _sign(v: str) -> Column:
+    return F.when(F.col(v) % 2 == 0, "+").otherwise("-")
+
+
+def _named_links(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """value: L lines without overlap between the vertices v and w."""
+    v, w = (segments.select(F.col("seg_id").alias(f"{x}_id"), F.col("name").alias(f"{x}_name")) for x in "vw")
+    named = pairs.withColumn("v_id", F.shiftright("v", 1)).withColumn("w_id", F.shiftright("w", 1)).join(v, "v_id").join(w, "w_id")
+    return named.select(F.concat_ws("\t", F.lit("L"), "v_name", _sign("v"), "w_name", _sign("w"), F.lit("0M")).alias("value"))
+
+
+def main_graph_lines(chains: DataFrame, segments: DataFrame) -> DataFrame:
+    """value: S lines without length for segments at which chains begin forwards, and an L line for each chain (begin, end)."""
+    ends = chains.select("begin", "end").distinct()
+    begins = ends.where("begin % 2 = 0").select(F.shiftright("begin", 1).alias("seg_id")).distinct().join(segments.select("seg_id", "name"), "seg_id")
+    s = begins.select(F.concat_ws("\t", F.lit("S"), "name", F.lit("*")).alias("value"))
+    return s.union(_named_links(ends.select(F.col("begin").alias("v"), F.col("end").alias("w")), segments))
+
+
+def lengthless_graph_lines(arcs: DataFrame, segments: DataFrame) -> DataFrame:
+    """value: S lines without length for all segments, and an L line for each arc."""
+    return segments.select(F.concat_ws("\t", F.lit("S"), "name", F.lit("*")).alias("value")).union(_named_links(arcs.select("v", "w"), segments))
+
+
+def write_main_graph(chains: DataFrame, segments: DataFrame, path: str) -> None:
+    main_graph_lines(chains, segments).write.mode("overwrite").text(path)
+
+
+def write_lengthless_graph(arcs: DataFrame, segments: DataFrame, path: str) -> None:
+    lengthless_graph_lines(arcs, segments).write.mode("overwrite").text(path)
+
+
 def node_colours(chains: DataFrame, segments: DataFrame) -> DataFrame:
     """node, colour of the segments at which chains end, by id."""
     ends = chains.select(F.explode(F.array(F.shiftright("begin", 1), F.shiftright("end", 1))).alias("seg_id")).distinct()
