@@ -1,5 +1,7 @@
 """Small graphs, made by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,37 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(n + 1)} | {500: 500, 501: 500}
 
 
+def test_tables_go_when_they_are_told_to(spark):
+    from pathlib import Path
+
+    from threadloom.plans.staging import folder, settle, temporary_tables
+
+    here = lambda: {p.name for p in Path(folder(spark).removeprefix("file:")).iterdir()}
+    before = here()
+    with temporary_tables(spark) as keep:
+        settle(spark.range(3))
+        kept = keep(settle(spark.range(4)))
+        assert len(here() - before) == 2
+    assert len(here() - before) == 1 and kept.count() == 4
+
+
+def test_components_by_brute_force(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(900), rng.randrange(900)) for _ in range(350)] + [(7, 900 + i) for i in range(400)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        x, y = sorted((find(x), find(y)))
+        root[y] = x
+    a = spark.createDataFrame([(2 * x, 2 * y + 1, 1, 1) for x, y in pairs], "v long, w long, ol long, arc_len long")
+    assert {r.seg_id: r.component for r in graph.components(a).collect()} == {x: find(x) for x in root}
+
+
 def test_components_of_an_empty_graph(spark):
     assert graph.components(spark.createDataFrame([], "v long, w long")).count() == 0
 

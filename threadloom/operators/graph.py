@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.components import connected
+
 
 def flipped(v: Column) -> Column:
     """The other orientation of a vertex."""
@@ -120,32 +122,9 @@ def simple_bubbles(arcs: DataFrame) -> DataFrame:
     return both.join(only, "t", "left_semi").join(back, ["s", "t"], "left_anti").select("s", "a", "b", "t")
 
 
-def components(arcs: DataFrame, rounds: int = 60) -> DataFrame:
-    """seg_id, component (least segment) over undirected links between segments.
-
-    Alternating large and small stars; each round is a table in the shared folder that the session names, so lineage stays
-    short, and per node only a minimum is gathered.
-    """
-    from threadloom.plans.staging import settle
-
-    a, b = segment_of(F.col("v")), segment_of(F.col("w"))
-    ids = arcs.select(F.explode(F.array(a, b)).alias("seg_id")).distinct()
-    now = settle(arcs.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).where("x > y").distinct())
-    mark = None
-    for _ in range(rounds):
-        both = now.union(now.select("y", "x"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x > y").distinct()
-        least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x > y").union(least)
-        now = settle(small.distinct())
-        new = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first())
-        if new == mark:
-            break
-        mark = new
-    else:
-        raise RuntimeError("components have not settled")
-    return ids.join(now.select(F.col("x").alias("seg_id"), F.col("y").alias("component")), "seg_id", "left").select("seg_id", F.coalesce("component", "seg_id").alias("component"))
+def components(arcs: DataFrame) -> DataFrame:
+    """seg_id, component (least segment) over undirected links between segments."""
+    return connected(arcs.select(segment_of(F.col("v")).alias("a"), segment_of(F.col("w")).alias("b"))).select(F.col("id").alias("seg_id"), F.col("root").alias("component"))
 
 
 def component_classes(members: DataFrame, typed: DataFrame, arcs: DataFrame) -> DataFrame:

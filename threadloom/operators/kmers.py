@@ -11,14 +11,16 @@ from threadloom.functions.dna import kmers
 SATURATED = 2**22 - 1
 
 
-def unique_owner_index(sequences: DataFrame, k: int, max_pos: int | None = None) -> DataFrame:
+def unique_owner_index(sequences: DataFrame, k: int, max_pos: int | None = None, only: DataFrame | None = None) -> DataFrame:
     """kmer, owner, pos, fwd of its first occurrence (least owner, then pos), and is_repeat if another owner has it.
 
     One aggregation with partial sums; a k-mer that occurs very often is merged before the shuffle. Owner, pos and fwd are
     one number, so that the aggregation is by hash and sorts nothing; owners and positions must be below 2^31. max_pos
-    leaves out occurrences beyond a position.
+    leaves out occurrences beyond a position; only, k-mers that it does not have.
     """
     occurrences = kmers(sequences, k)
+    if only is not None:
+        occurrences = occurrences.join(only.select("kmer"), "kmer", "left_semi")
     if max_pos is not None:
         occurrences = occurrences.where(F.col("pos") <= max_pos)
     fits = (F.col("owner") >= 0) & (F.col("owner") < 2**31) & (F.col("pos") < 2**31)

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.dna import kmers
+from threadloom.operators.kmers import unique_owner_index
+from threadloom.plans.staging import settle
 
+#: K-mers of reads that are broadcast to the targets, at most; more of them meet by shuffle.
+BROADCAST_KMERS = 500_000
 NEAR, SHIFT, LEAST_HITS, BONUS = 3, 200, 3, 20
 
 
@@ -94,10 +98,10 @@ def best_target(support: DataFrame) -> DataFrame:
 
 def map_reads(reads: DataFrame, targets: DataFrame, k: int, strict: bool = False) -> DataFrame:
     """reads (read_idx, seq) to their best target among targets (owner, seq)."""
-    from threadloom.operators.kmers import unique_owner_index
-
-    hits = colinear(majority_strand(anchor_hits(reads, unique_owner_index(targets, k), k)), strict)
-    return best_target(target_support(hits, k))
+    # k-mers of targets that no read has are left out of the index; where those of reads are few, before any shuffle
+    asked = settle(kmers(reads, k, keep=("read_idx",)).select("kmer").distinct())
+    index = unique_owner_index(targets, k, only=F.broadcast(asked) if asked.count() <= BROADCAST_KMERS else asked)
+    return best_target(target_support(colinear(majority_strand(anchor_hits(reads, index, k)), strict), k))
 
 
 def best_haplotype(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -152,11 +156,12 @@ def symmetric_total(table: DataFrame) -> DataFrame:
 
 def run_statistics(first: DataFrame, second: DataFrame, groups: DataFrame) -> DataFrame:
     """One row: mapped reads of each side, pairs with both mapped, in different units, and those skipped by group."""
-    pairs = zip_mates(first, second)
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    useful = pairs.where("u1 <> u2")
-    parts = [n(first.where("target is not null"), "mapped1"), n(second.where("target is not null"), "mapped2"), n(pairs, "both_mapped"), n(useful, "useful"), n(group_guard(useful, groups), "kept")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(F.broadcast(p))  # one row each
-    return out.withColumn("skipped", F.col("useful") - F.col("kept"))
+    mates = first.select("read_idx", F.col("target").alias("u1")).join(second.select("read_idx", F.col("target").alias("u2")), "read_idx", "full_outer")
+    g1, g2 = (groups.select(F.col("id").alias(f"u{i}"), F.col("grp").alias(f"g{i}")) for i in (1, 2))
+    apart = (F.coalesce("g1", F.lit(0)) != 0) & (F.coalesce("g2", F.lit(0)) != 0) & (F.col("g1") != F.col("g2"))
+    useful = F.col("u1") != F.col("u2")
+    count = lambda what, name: F.coalesce(F.count_if(what), F.lit(0)).alias(name)
+    return mates.join(g1, "u1", "left").join(g2, "u2", "left").agg(
+        count(F.col("u1").isNotNull(), "mapped1"), count(F.col("u2").isNotNull(), "mapped2"), count(F.col("u1").isNotNull() & F.col("u2").isNotNull(), "both_mapped"),
+        count(useful, "useful"), count(useful & ~apart, "kept"), count(useful & apart, "skipped"),
+    )

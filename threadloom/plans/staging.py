@@ -1,22 +1,62 @@
-"""Cutting lineage for iterative plans."""
+"""Cutting lineage for iterative plans by tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
 
-def settle(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder of spark.checkpoint.dir; a temporary folder only for a local master without it."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; where it is unset, a temporary one, for a local master alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+        found = tempfile.mkdtemp(prefix="threadloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """df as a table in the shared folder, which cuts its lineage; lost executors lose none of it."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table of a frame that settle gave, which nothing may read any more."""
+    _delete(df.sparkSession, df.settled_at)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that settle writes within go at the end, but for frames of settle that the given function gets."""
+    before, kept = set(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.settled_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in [x for x in _made if x not in before | kept]:
+            _delete(spark, path)
