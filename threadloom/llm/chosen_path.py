@@ -29,8 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.components import connected
+
 from .common import WordHashes, bounded_batches, mix64, stage, window_hashes, words_of
-from .components import connected
 
 WIDTH, THRESHOLD, RECALL, LEVELS, BRANCH, LIMIT, CELL = 5, 0.8, 0.999, 4, 2, 256, 384
 #: How far below the threshold the share of equal samples may be.
@@ -129,10 +130,11 @@ def _bucket_links(buckets: DataFrame, least_share: float) -> DataFrame:
 def _with_counts(now: DataFrame) -> DataFrame:
     """node, run, p, n (nodes of the bucket), least, for buckets of two nodes or more; a bucket with very many rows is not dealt to one task."""
     counts = stage(now.groupBy("p").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "path-counts")
-    most = (counts.agg(F.sum("n")).first()[0] or 0) / HOT_BUCKETS
-    hot = F.broadcast(counts.where(F.col("n") > most)) if most > LIMIT else None
-    if hot is None:
+    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
+    most = max((total or 0) / HOT_BUCKETS, LIMIT)
+    if (largest or 0) <= most:
         return stage(now.join(counts, "p"), "path-level")
+    hot = F.broadcast(counts.where(F.col("n") > most))
     rest = now.join(hot.select("p"), "p", "left_anti").join(counts.where(F.col("n") <= most), "p")
     return stage(now.join(hot, "p").unionByName(rest), "path-level")
 
