@@ -18,6 +18,11 @@ from threadloom.llm.mixing import repeat_copies
 from threadloom.llm.quality import keep_quality
 from threadloom.llm.queries import VOCABULARY
 from threadloom.llm.substring import dedup_substrings
+from threadloom.plans.staging import drop, temporary_tables
+
+
+#: Chunks that a worker of the last stage remembers: fewer than in op5_bpe, as the JVM still holds the heap of earlier stages.
+TOKENS_REMEMBER = 120_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +56,6 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, remember=TOKENS_REMEMBER)
 
 
-#: Chunks a worker remembers: fewer than in op5_bpe, as the JVM still holds the heap of earlier stages.
-TOKENS_REMEMBER = 120_000
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix", mix), ("tokens", tokens)]
 
 #: Trained trees and the tokenizer have no SQL; tests/llm holds the stages against brute force.
@@ -60,7 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage writes on its way goes when its result is written, and that when the next is."""
     docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    for at, (name, step) in enumerate(STAGES):
+        with temporary_tables(spark) as keep:
+            done = keep(stage(step(spark, docs, sf_dir), f"pipeline-{name}"))
+        if at:
+            drop(docs)
+        docs = done
     return docs
