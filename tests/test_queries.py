@@ -8,9 +8,6 @@ from threadloom.plans import registry
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = registry.oracle_sql()
-#: The slower half of the k-mer queries has the same operators below it.
-LEFT_OUT = {"K7_alignment_rows", "J2_hits_with_repeats", "A6_P16_shrink", "Q2_bounded_positions", "A7_P4_look_up", "S18_trio_bins", "A25_P17_quality_histogram"}
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -24,7 +21,7 @@ def _plain(rows):
     return sorted(tuple("" if v is None or v != v else repr(round(v, 7)) if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - LEFT_OUT))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     df = registry.queries()[name](spark, DATA)
     got = duck.execute(SQL[name])
