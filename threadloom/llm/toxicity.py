@@ -34,6 +34,8 @@ FEATURES = 768
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.5
 FOLDS = 5
+#: Partitions of the sample, whose features are counted.
+PARTS = 32
 #: Categories from the columns of labels: toxic text of low quality, toxic text otherwise fine, any toxic text.
 CATEGORIES = {"toxic_junk": "toxic = 1 and coalesce(quality, 1) = 0", "toxic_prose": "toxic = 1 and coalesce(quality, 1) = 1", "toxic": "toxic = 1"}
 _SPACE = 1 << 22
@@ -248,18 +250,18 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str
     kind = docs.schema[key].dataType.simpleString()
     rows = rows.mapInPandas(read, f"k {kind}, y array<int>, s binary, x array<int>, v array<float>")
     order = ("k", F.xxhash64("x", "v"))
-    rows = stage(rows.orderBy(*order).limit(max_rows), "toxic-rows")  # an id may repeat
+    rows = stage(rows.orderBy(*order).limit(max_rows).repartition(PARTS, "k"), "toxic-rows")  # an id may repeat
     told = rows.select("k", "y", "s", F.xxhash64("x", "v").alias("h")).toPandas()
     y = np.array(told["y"].tolist(), dtype=np.float32).reshape(len(told), len(names))
     sketches = np.array([np.frombuffer(x, np.uint64) for x in told["s"]]).reshape(len(told), BANDS * WIDTH)
     fold = fold_of(copy_groups(sketches), FOLDS)
     folds = rows.sparkSession.createDataFrame(pd.DataFrame({"k": told["k"], "h": told["h"], "fold": fold}).drop_duplicates(["k", "h"]), f"k {kind}, h long, fold int")
     rows = rows.withColumn("h", F.xxhash64("x", "v")).join(F.broadcast(folds), ["k", "h"])
-    wanted = _worth_sending(rows, y, fold, FOLDS, FEATURES)
+    wanted = np.array(sorted(_worth_sending(rows, y, fold, FOLDS, FEATURES)), np.int32)
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            use = [np.isin(x, list(wanted)) for x in pdf["x"]]
+            use = [np.isin(x, wanted) for x in pdf["x"]]
             yield pdf[["k", "h", "y", "fold"]].assign(x=[np.asarray(x, np.int32)[u].tobytes() for x, u in zip(pdf["x"], use, strict=True)], v=[np.asarray(v, np.float32)[u].tobytes() for v, u in zip(pdf["v"], use, strict=True)])
 
     got = rows.select("k", "h", "y", "fold", "x", "v").mapInPandas(narrow, f"k {kind}, h long, y array<int>, fold int, x binary, v binary").toPandas().sort_values(["k", "h"])
