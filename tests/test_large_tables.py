@@ -161,3 +161,17 @@ def test_walks_by_shape_shuffle_no_component_twice(spark):
 def test_repair_query_joins_nothing(spark):
     plan = registry.queries()["G18_G19_repair_arcs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_greedy_paths_by_shape_equal_those_of_each_component(spark):
+    from pyspark.sql import functions as F
+
+    from threadloom.operators import walks
+
+    a, m, s = _many_graphs(spark)
+    rows = walks.walk_rows(a, m, s)
+    for end in ("v", "w"):
+        a = a.withColumn("seg_id", F.shiftright(end, 1)).join(s.withColumnRenamed("len", f"len_{end}"), "seg_id").drop("seg_id")
+    names = ("component", "path_no", "ord", "v")
+    for least in (1, 250):
+        assert _rows(walks.greedy_paths_of(rows, least), *names) == _rows(walks.greedy_paths(a, m, least), *names) != []

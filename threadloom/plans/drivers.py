@@ -117,7 +117,7 @@ def phase(segments: DataFrame, arcs: DataFrame, least_path: int = 1_000_000, lea
     kinds = kinds_of(members, types, whole)
     haps = members.join(kinds.where("kind = 'hap'").select("component"), "component", "left_semi")
     kept = members.join(kinds.where("kind = 'kept'").select("component"), "component", "left_semi")
-    paths = settle(walks.greedy_paths(_lengths(whole, segments), haps, least_path))
+    paths = settle(walks.greedy_paths_of(walks.walk_rows(whole, haps, segments), least_path))
     joined = paths.select((F.col("component") * 2**20 + F.col("path_no")).alias("path"), "ord", "v")
     sequences = walks.join_sequences(joined, segments, whole)
 
