@@ -110,7 +110,7 @@ def phase(segments: DataFrame, arcs: DataFrame, least_path: int = 1_000_000, lea
     new = added.select("v", "w").distinct().join(one, ["v", "w"], "left_anti").withColumn("seg_id", F.shiftright("v", 1)).join(segments.select("seg_id", "len"), "seg_id")
     whole = settle(one.unionByName(new.select("v", "w", F.lit(0).cast("long").alias("ol"), F.col("len").alias("arc_len"))))
 
-    members = settle(graph.components(whole))
+    # arcs to add lie within components, so these are as they were
     bubbles = settle(walks.bubble_nodes(whole, members))
     types = _typed(whole, bubbles)
     types = settle(types.unionByName(graph.linear_vertices(whole, types).withColumn("node_type", F.lit(4))))
