@@ -131,3 +131,38 @@ def test_tables_on_the_way_go(spark):
     before = here()
     got = corpus_pipeline.run(spark, DATA)
     assert [x.rsplit("-", 1)[0] for x in here() - before] == ["pipeline-tokens"] and got.count() > 0
+
+
+def test_workers_keep_nothing_for_earlier_stages(spark):
+    """Workers outlive a stage: what one remembers of tokens is gone once it has run a task of another stage."""
+    import numpy as np
+
+    from threadloom.llm.trees import fit_trees
+
+    def live(batches):
+        import gc
+
+        import pandas as pd
+
+        for _ in batches:
+            yield pd.DataFrame({"n": [sum(type(x).__name__ == "BytePairCodec" for x in gc.get_objects())]})
+
+    count = lambda: spark.range(0, 64, 1, 64).mapInPandas(live, "n long").agg(F.sum("n")).first()[0]
+    docs = table(spark, DATA, "documents").repartition(64)
+    assert corpus_pipeline.tokens(spark, docs, DATA).agg(F.sum("n_tokens")).first()[0] > 0 and count() > 0
+    model = fit_trees(np.zeros((0, len(quality.STATISTICS))), np.zeros(0))
+    assert quality.score_quality(docs, model).agg(F.min("score")).first()[0] == 0.5 and count() == 0
+
+
+def test_few_long_texts_go_to_a_worker_at_once(spark):
+    from threadloom.llm.common import bounded_batches
+
+    def size(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame({"mb": [pdf["text"].str.len().sum() / 1e6]})
+
+    long = spark.range(0, 40, 1, 1).select(F.expr("repeat('x', 1000000)").alias("text"))
+    got = bounded_batches(long).mapInPandas(size, "mb double").agg(F.sum("mb"), F.max("mb")).first()
+    assert got[0] == 40 and got[1] < 12

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, kept, tidy
 
 #: Fixed value: characters with Unicode's White_Space property, as a class for regular expressions.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -190,14 +190,9 @@ class BytePairCodec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_codecs: dict[tuple[str, str, int], BytePairCodec] = {}
-
-
 def codec(path: str, pattern: str, remember: int = REMEMBER) -> BytePairCodec:
-    """One a Python worker."""
-    if (path, pattern, remember) not in _codecs:
-        _codecs[path, pattern, remember] = BytePairCodec(read_ranks(path), pattern, remember)
-    return _codecs[path, pattern, remember]
+    """One a Python worker, until it runs tasks of other operators."""
+    return kept((path, pattern, remember), lambda: BytePairCodec(read_ranks(path), pattern, remember))
 
 
 def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
@@ -243,4 +238,4 @@ def token_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", t
             yield got
 
     kind = df.schema[key].dataType.simpleString()
-    return bounded_batches(df).select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(df).select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(tidy(run, (path, pattern, remember)), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.components import connected
 
-from .common import WordHashes, bounded_batches, mix64, stage, window_hashes, words_of
+from .common import WordHashes, bounded_batches, mix64, stage, tidy, window_hashes, words_of
 
 WIDTH, THRESHOLD, RECALL, LEVELS, BRANCH, LIMIT, CELL = 5, 0.8, 0.999, 4, 2, 256, 384
 #: How far below the threshold the share of equal samples may be.
@@ -91,7 +91,7 @@ def _sketched(docs: DataFrame, key: str, text: str, runs: int, levels: int) -> D
             out.insert(1, "h", pdf["_h"].to_numpy())
             yield out
 
-    return bounded_batches(docs).select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(text).alias("_h")).mapInPandas(run, f"key {kind}, h long, node binary, sampled array<long>")
+    return bounded_batches(docs).select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(text).alias("_h")).mapInPandas(tidy(run), f"key {kind}, h long, node binary, sampled array<long>")
 
 
 def _roots(alike: np.ndarray) -> np.ndarray:
@@ -124,7 +124,7 @@ def _bucket_links(buckets: DataFrame, least_share: float) -> DataFrame:
                     b.append(nodes[root[i]])
             yield pd.DataFrame({"a": a, "b": b})
 
-    return buckets.mapInPandas(run, "a binary, b binary")
+    return buckets.mapInPandas(tidy(run), "a binary, b binary")
 
 
 def _with_counts(now: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def _checked(texts: DataFrame, threshold: float) -> DataFrame:
             right = np.array([set_digest(s) == d for s, d in zip(sets, pdf["node"], strict=True)], dtype=bool)  # an id may repeat with another text
             yield pdf.drop(columns="text").assign(tokens=[s.tobytes() for s in sets])[right]
 
-    rows = texts.mapInPandas(sets_of, "node binary, grp binary, blocks int, block int, weight long, tokens binary")
+    rows = texts.mapInPandas(tidy(sets_of), "node binary, grp binary, blocks int, block int, weight long, tokens binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = rows.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
     cells = cells.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
@@ -234,7 +234,7 @@ def _checked(texts: DataFrame, threshold: float) -> DataFrame:
         if (out := done() if held else None) is not None:
             yield out
 
-    return cells.select("node", "grp", "blocks", "block", "weight", "tokens", "i", "j").mapInPandas(check, "node binary, links long, root binary, alone boolean")
+    return cells.select("node", "grp", "blocks", "block", "weight", "tokens", "i", "j").mapInPandas(tidy(check), "node binary, links long, root binary, alone boolean")
 
 
 def _classes(docs: DataFrame, key: str, text: str, threshold: float, recall: float, levels: int) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Hashable, Iterator
+from functools import wraps
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,18 +27,54 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return settle(df, name)
 
 
-#: Rows of whole texts that go to a Python worker at once, where the session leaves Spark's default of 10,000.
-TEXTS_A_BATCH = 1000
+#: Rows of whole texts and bytes that go to a Python worker at once, where the session leaves Spark's defaults of 10,000 and 64 MB.
+TEXTS_A_BATCH, BYTES_A_BATCH = 1000, 8 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, with the session set to send fewer texts at once; a worker's memory is then that of a batch and of its own tables."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name, "10000") == "10000":
-        conf.set(name, str(TEXTS_A_BATCH))
+    conf = df.sparkSession.conf
+    for name, usual, own in (("maxRecordsPerBatch", "10000", TEXTS_A_BATCH), ("maxBytesPerBatch", "67108864b", BYTES_A_BATCH)):
+        if conf.get(f"spark.sql.execution.arrow.{name}", usual) == usual:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(own))
     return df
 
 
+_kept: dict[Hashable, object] = {}  # in a Python worker
+
+
+def kept[T](key: Hashable, make: Callable[[], T]) -> T:
+    """What make gives, made once a Python worker for as long as its tasks keep this key."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go(keep: Hashable = None) -> None:
+    """A worker outlives operators: what it keeps for others than this one goes."""
+    for key in [x for x in _kept if x != keep]:
+        del _kept[key]
+
+
+def give_back() -> None:
+    """What is free goes back to the system, for the executor's JVM and the other workers."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def tidy[A, B](run: Callable[[Iterator[A]], Iterator[B]], keep: Hashable = None) -> Callable[[Iterator[A]], Iterator[B]]:
+    """run, a task of a Python worker, that leaves the worker no more than what is kept for keep."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[A]) -> Iterator[B]:
+        let_go(keep)
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def words_of(text: str | None) -> list[str]:
     """The words of WORD, in order. str.split() without an argument would also split at other Unicode spaces."""
     return [w for w in text.translate(_SPACES).split(" ") if w] if text else []

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, words_of
+from .common import bounded_batches, tidy, words_of
 from .trees import FlatTrees, fit_trees
 
 MAX_ROWS = 20_000
@@ -71,7 +71,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     kind = docs.schema[key].dataType.simpleString()
     # an id may repeat in documents: as many rows as the sample has, by id, bound what is sent
-    got = rows.mapInPandas(measured, f"k {kind}, y double, x array<double>").orderBy("k", "x").limit(max_rows).toPandas()
+    got = rows.mapInPandas(tidy(measured), f"k {kind}, y double, x array<double>").orderBy("k", "x").limit(max_rows).toPandas()
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), len(STATISTICS))
     return fit_trees(x, (got["y"].to_numpy() > 0).astype(np.float64))
 
@@ -79,13 +79,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 def score_quality(docs: DataFrame, model: FlatTrees, text: str = "text", out: str = "score") -> DataFrame:
     """docs with a column more: the probability that a document's label is 1."""
 
-    @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             x = np.array([statistics(t) for t in s], dtype=np.float64).reshape(len(s), len(STATISTICS))
             yield pd.Series(model.probability(x), index=s.index)
 
-    return bounded_batches(docs).withColumn(out, score(F.col(text)))
+    return bounded_batches(docs).withColumn(out, F.pandas_udf(tidy(score), "double")(F.col(text)))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:

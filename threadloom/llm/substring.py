@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_batches, stage, window_hashes, words_of
+from .common import WordHashes, bounded_batches, stage, tidy, window_hashes, words_of
 
 WIDTH, GRAM = 50, 10
 #: Entries that a task remembers of what it has met.
@@ -54,7 +54,7 @@ def _grams_of(rows: DataFrame, width: int, gram: int) -> DataFrame:
             n = [len(x) for x in got]
             yield pd.DataFrame({"did": np.repeat(pdf["did"].to_numpy(), n), "h": np.repeat(pdf["h"].to_numpy(), n), "g": np.concatenate([*got, np.empty(0, np.uint64)]).view(np.int64)})
 
-    return rows.select("did", "h", "text").mapInPandas(run, "did long, h long, g long")
+    return rows.select("did", "h", "text").mapInPandas(tidy(run), "did long, h long, g long")
 
 
 def _windows_of(rows: DataFrame, width: int, gram: int) -> DataFrame:
@@ -96,7 +96,7 @@ def _windows_of(rows: DataFrame, width: int, gram: int) -> DataFrame:
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    return rows.mapInPandas(run, "did long, h long, w1 long, w2 long, pos int, more binary")
+    return rows.mapInPandas(tidy(run), "did long, h long, w1 long, w2 long, pos int, more binary")
 
 
 def kept_words(text: str, positions: np.ndarray, width: int = WIDTH) -> tuple[int, int, str]:
@@ -122,7 +122,6 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     found = windows.withColumn("least", least).where("pos < 0 or did > least")
     found = found.groupBy("did", "h").agg(F.collect_list(F.when(F.col("pos") >= 0, F.col("pos"))).alias("pos"), F.collect_list("more").alias("more"))
 
-    @F.pandas_udf("words long, removed long, left string")
     def left(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, pos, more in batches:
             out = []
@@ -133,5 +132,5 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
                 out.append((n, gone, hashlib.sha256(rest.encode("utf-8", "surrogatepass")).hexdigest() if digest else rest))
             yield pd.DataFrame(out, columns=["words", "removed", "left"])
 
-    judged = rows.join(found.hint("shuffle_hash"), ["did", "h"], "left").select("_row", left("text", "pos", "more").alias("x"))
+    judged = rows.join(found.hint("shuffle_hash"), ["did", "h"], "left").select("_row", F.pandas_udf(tidy(left), "words long, removed long, left string")("text", "pos", "more").alias("x"))
     return judged.select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns], F.col("x.words").alias("dedup_words"), F.col("x.removed").alias("dedup_removed"), F.col("x.left").alias("dedup_text"))
