@@ -21,14 +21,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.plans.staging import drop
+
 from .common import bounded_batches, mix64, stage, tidy, window_hashes
 
 WIDTH, GRAM = 50, 10
@@ -51,6 +54,18 @@ def least_grams(h: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> np.ndarr
     return np.minimum(low[: len(h) - width + 1], low[need - span :]) if span < need else low
 
 
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files; else they stay until the driver collects garbage, beside those of the result."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     row = F.struct(*[F.col(c) for c in docs.columns])
     return bounded_batches(docs).select(row.alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("did"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -254,7 +269,9 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     rows = _keyed(docs, key, text)
     grams = stage(_grams_of(rows, width, gram), "substring-grams")
     again = grams.groupBy("g").agg(F.min("did").alias("a"), F.max("did").alias("b")).where("a < b").select("g")
-    lists = stage(grams.join(again, "g").groupBy("did", "h").agg(F.collect_set("g").alias("grams")), "substring-lists")
+    with _shuffles_go(docs.sparkSession):
+        lists = stage(grams.join(again, "g").groupBy("did", "h").agg(F.collect_set("g").alias("grams")), "substring-lists")
+    drop(grams)
     windows = _windows_of(rows.join(lists.hint("shuffle_hash"), ["did", "h"]).select("did", "h", "text", "grams"), width, gram)
     least = F.expr("min(did) over (partition by w1, w2)")
     found = windows.withColumn("least", least).where("pos < 0 or did > least")
