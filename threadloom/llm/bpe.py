@@ -15,9 +15,10 @@ change nothing, and an empty table gives an empty one.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import pandas as pd
@@ -30,7 +31,7 @@ from .common import bounded_batches, kept, tidy
 #: Fixed value: characters with Unicode's White_Space property, as a class for regular expressions.
 WHITE = r"\t-\r \x85\xa0  -     　"
 #: Chunks in each generation of what a worker remembers; one takes about 300 bytes.
-REMEMBER = 300_000
+REMEMBER = 600_000
 #: Number of tokens, their ids in decimal with commas, and the bytes that these ids stand for.
 Found = tuple[int, str, bytes]
 
@@ -45,6 +46,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class _Recent(dict[str, Found]):
+    """Chunks met lately; one that is not there is looked up, so that all of a text's come by one map."""
+
+    def __init__(self, look_up: Callable[[str], Found]) -> None:
+        self.look_up = look_up
+
+    def __missing__(self, chunk: str) -> Found:
+        return self.look_up(chunk)
+
+
 class BytePairCodec:
     """Encodes and decodes by the ranks of a vocabulary; what it remembers is bounded."""
 
@@ -56,10 +67,10 @@ class BytePairCodec:
         self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.wide_gap = re.compile(f" (?:[{WHITE}]|\\Z)")
         self.size_of = {r: len(b) for b, r in ranks.items()}
-        self.recent: dict[str, Found] = {}
+        self.recent = _Recent(self._looked_up)
         self.older: dict[str, Found] = {}
         self.fits: dict[int, bool] = {}
-        self.alone: dict[int, Found] = {r: (1, str(r), b) for b, r in ranks.items()}
+        self.name_of = {r: str(r) for r in ranks.values()}
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         self.shorter: dict[int, int] = {}
         usable: dict[str, int] = {}
@@ -143,8 +154,7 @@ class BytePairCodec:
         return [r] if r is not None else self._backtracked(data)
 
     def _found(self, ids: list[int]) -> Found:
-        alone = self.alone
-        return len(ids), ",".join([alone[i][1] for i in ids]), b"".join([alone[i][2] for i in ids])
+        return len(ids), ",".join(map(self.name_of.__getitem__, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
 
     def _looked_up(self, chunk: str) -> Found:
         """Two generations of what was met lately; the older one goes when the younger is full."""
@@ -162,7 +172,7 @@ class BytePairCodec:
                     return found
         if len(chunk) <= 64:
             if len(self.recent) >= self.remember:
-                self.older, self.recent = self.recent, {}
+                self.older, self.recent = self.recent, _Recent(self._looked_up)
             self.recent[chunk] = found
         return found
 
@@ -178,10 +188,7 @@ class BytePairCodec:
             chunks = text.replace(" ", "\0 ").split("\0")
             if not chunks[0]:
                 del chunks[0]
-        got = list(map(self.recent.get, chunks))
-        if None in got:
-            got = [self._looked_up(chunks[i]) if x is None else x for i, x in enumerate(got)]
-        return got
+        return list(map(self.recent.__getitem__, chunks))
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for _, ids, _ in self.encoded_chunks(text) for x in ids.split(",")] if text else []
@@ -219,6 +226,20 @@ def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "token_ids"
     return df.withColumn(out, data(F.col(ids)))
 
 
+def digests(c: BytePairCodec, texts: Iterable[str | None]) -> list[tuple[int, str, str]]:
+    """n_tokens, ids_sha256 and decoded_sha256 of each text. No cycles come up here, so none are looked for among all that is remembered."""
+    rows, collects = [], gc.isenabled()
+    gc.disable()
+    try:
+        for t in texts:
+            n, ids, data = _joined(c.encoded_chunks(t)) if t else (0, "", b"")
+            rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(data).hexdigest()))
+    finally:
+        if collects:
+            gc.enable()
+    return rows
+
+
 def token_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", remember: int = REMEMBER) -> DataFrame:
     """Per row: key, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256, both as lowercase hex.
 
@@ -229,11 +250,7 @@ def token_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", t
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern, remember)
         for pdf in batches:
-            rows = []
-            for t in pdf["_text"]:
-                n, ids, data = _joined(c.encoded_chunks(t)) if t else (0, "", b"")
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(data).hexdigest()))
-            got = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            got = pd.DataFrame(digests(c, pdf["_text"]), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             got.insert(0, key, pdf["_key"].to_numpy())
             yield got
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Hashable, Iterator
 from functools import wraps
 
@@ -52,8 +53,11 @@ def kept[T](key: Hashable, make: Callable[[], T]) -> T:
 
 def let_go(keep: Hashable = None) -> None:
     """A worker outlives operators: what it keeps for others than this one goes."""
-    for key in [x for x in _kept if x != keep]:
+    gone = [x for x in _kept if x != keep]
+    for key in gone:
         del _kept[key]
+    if gone:
+        gc.collect()  # what is kept may lead back to itself
 
 
 def give_back() -> None:
