@@ -27,14 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix64, stage
+from .common import bounded_batches, mix64, stage, tidy
 
 MAX_ROWS = 8_000
 FEATURES = 768
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.5
 FOLDS = 5
-#: Partitions of the sample, whose features are counted.
+#: Partitions of the sample, whose features are counted, and most files of these counts: each file of a table starts
+#: processes of its own (chmod), which for a moment count as large as the JVM that starts them.
 PARTS = 32
 #: Categories from the columns of labels: toxic text of low quality, toxic text otherwise fine, any toxic text.
 CATEGORIES = {"toxic_junk": "toxic = 1 and coalesce(quality, 1) = 0", "toxic_prose": "toxic = 1 and coalesce(quality, 1) = 1", "toxic": "toxic = 1"}
@@ -217,7 +218,7 @@ def _worth_sending(rows: DataFrame, y: np.ndarray, fold: np.ndarray, folds: int,
     seen = rows.select("fold", "y", F.explode("x").alias("f"))
     sums = [F.sum((F.col("fold") == g).cast("int")).alias(f"n{g}") for g in range(folds)]
     sums += [F.sum(F.when(F.col("fold") == g, F.col("y")[j]).otherwise(0)).alias(f"p{g}_{j}") for g in range(folds) for j in range(k)]
-    counts = stage(seen.groupBy("f").agg(F.count("*").alias("n"), *sums).where("n >= 3").drop("n"), "toxic-counts")
+    counts = stage(seen.groupBy("f").agg(F.count("*").alias("n"), *sums).where("n >= 3").drop("n").coalesce(PARTS), "toxic-counts")
     found: set[int] = set()
     for left in (None, *range(folds)):
         used = [g for g in range(folds) if g != left]
@@ -248,10 +249,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str
             yield pd.DataFrame({"k": pdf["_k"], "y": list(pdf[names].to_numpy(dtype=np.int32)), "s": [sketch(x).tobytes() for x in ids], "x": ids, "v": [np.array([v for _, v in g], np.float32) for g in got]})
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = rows.mapInPandas(read, f"k {kind}, y array<int>, s binary, x array<int>, v array<float>")
+    rows = rows.mapInPandas(tidy(read), f"k {kind}, y array<int>, s binary, x array<int>, v array<float>")
     order = ("k", F.xxhash64("x", "v"))
-    rows = stage(rows.orderBy(*order).limit(max_rows).repartition(PARTS, "k"), "toxic-rows")  # an id may repeat
-    told = rows.select("k", "y", "s", F.xxhash64("x", "v").alias("h")).toPandas()
+    rows = stage(rows.orderBy(*order).limit(max_rows).repartition(PARTS), "toxic-rows")  # an id may repeat
+    told = rows.select("k", "y", "s", F.xxhash64("x", "v").alias("h")).toPandas().sort_values(["k", "h"])  # folds don't depend on files
     y = np.array(told["y"].tolist(), dtype=np.float32).reshape(len(told), len(names))
     sketches = np.array([np.frombuffer(x, np.uint64) for x in told["s"]]).reshape(len(told), BANDS * WIDTH)
     fold = fold_of(copy_groups(sketches), FOLDS)
@@ -264,7 +265,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str
             use = [np.isin(x, wanted) for x in pdf["x"]]
             yield pdf[["k", "h", "y", "fold"]].assign(x=[np.asarray(x, np.int32)[u].tobytes() for x, u in zip(pdf["x"], use, strict=True)], v=[np.asarray(v, np.float32)[u].tobytes() for v, u in zip(pdf["v"], use, strict=True)])
 
-    got = rows.select("k", "h", "y", "fold", "x", "v").mapInPandas(narrow, f"k {kind}, h long, y array<int>, fold int, x binary, v binary").toPandas().sort_values(["k", "h"])
+    got = rows.select("k", "h", "y", "fold", "x", "v").mapInPandas(tidy(narrow), f"k {kind}, h long, y array<int>, fold int, x binary, v binary").toPandas().sort_values(["k", "h"])
     y = np.array(got["y"].tolist(), dtype=np.float32).reshape(len(got), len(names))
     return fit_chain([np.frombuffer(x, np.int32) for x in got["x"]], y, names, values=[np.frombuffer(x, np.float32) for x in got["v"]], fold=got["fold"].to_numpy())
 
@@ -274,6 +275,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, text: str = "text", threshold:
     names = [f"p_{c}" for c in chain.names]
 
     @F.pandas_udf(", ".join(f"{c} double" for c in names))
+    @tidy
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         features = WordFeatures(chain.chosen)
         for s in batches:
